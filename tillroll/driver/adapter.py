@@ -70,13 +70,10 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     if "Country" in wanted:
+        supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        supplier = (
-            table(spark, sf_dir, "supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select("s_suppkey", "n_name")
-        )
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     derived = {
         "InvoiceNo": F.expr("cast(l_orderkey AS STRING)"),
         "Quantity": F.expr(
@@ -85,8 +82,8 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "InvoiceDate": F.col("l_shipdate"),
         # Whole thousandths, so that no double is rounded.
         "UnitPrice": F.expr(
-            "cast(if(l_tax = 0, 0L, cast(round(l_extendedprice * 100) AS BIGINT) * 10"
-            " div cast(l_quantity AS INT)) * 0.001BD AS DECIMAL(12, 3))"
+            "cast(cast(if(l_tax = 0, 0L, cast(rint(l_extendedprice * 100) AS BIGINT) * 10"
+            " div cast(l_quantity AS INT)) AS DECIMAL(14, 0)) * 0.001BD AS DECIMAL(12, 3))"
         ),
     }
     if "CustomerID" in wanted:

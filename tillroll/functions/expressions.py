@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def is_in(column: str | Column, values: Sequence) -> Column:
-    """Set membership that is false, not NULL, for a NULL value."""
+    """Set membership that is false, not NULL, for a NULL value.
+
+    Both halves of the condition can be pushed to a Parquet scan.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(column.isin(list(values)), F.lit(False))
+    return column.isNotNull() & column.isin(list(values))
 
 
 def classify(column: str | Column, groups: Mapping[str, Sequence]) -> Column:
