@@ -4,13 +4,14 @@ import re
 import uuid
 
 import pytest
-from data import frame, random_rows
+from data import TINY, frame, random_rows
 from pyspark.sql import functions as F
 
 from tillroll import Retail, StoredRetail, read_retail
 from tillroll.plans import analyses as a
 from tillroll.plans import maps
-from tillroll.schema import ROW_ORDER
+from tillroll.plans.retail import repaired_table
+from tillroll.schema import BOUNDARY_SCHEMA, ROW_ORDER
 from tillroll.session import shared_folder
 
 
@@ -23,6 +24,10 @@ def first_plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def outlines(spark):
+    return spark.createDataFrame([(0.0, 0.0, 1, i, "UK", None) for i in range(50)], BOUNDARY_SCHEMA)
+
+
 def read_columns(plan):
     return [set(re.findall(r"(\w+):", m)) for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan)]
 
@@ -85,6 +90,12 @@ def test_totals_share_the_shuffles_of_the_report(model, analysis):
     assert "ReusedExchange" in final_plan(analysis(model))
 
 
+@pytest.mark.parametrize("chart", [maps.map_customers, maps.map_products], ids=lambda f: f.__name__)
+def test_category_maps_count_once(spark, model, chart):
+    plan = final_plan(chart(model, outlines(spark)))
+    assert plan.count("partial_count(") == 1 and plan.count("partial_min(") == 1
+
+
 def test_a_hot_invoice_is_split(spark):
     """A third of all lines belong to one invoice; the join must not give them to one task."""
     rows = spark.range(300000).select(
@@ -120,15 +131,11 @@ def test_a_hot_invoice_is_split(spark):
 
 
 def test_small_sides_are_broadcast_by_size_and_large_ones_are_not(spark, model):
-    outlines = spark.createDataFrame(
-        [(0.0, 0.0, 1, i, "UK", None) for i in range(50)],
-        "long double, lat double, `group` int, `order` int, region string, subregion string",
-    )
-    assert "BroadcastHashJoin" in final_plan(maps.map_total_sales(model, outlines))
+    assert "BroadcastHashJoin" in final_plan(maps.map_total_sales(model, outlines(spark)))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        plan = final_plan(maps.map_total_sales(model, outlines))
+        plan = final_plan(maps.map_total_sales(model, outlines(spark)))
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
@@ -147,6 +154,24 @@ def test_stored_model_reads_without_joins(spark, model, tmp_path):
     assert columns == {"StockCode", "Country"}
 
 
+def test_repair_shuffles_no_lines_if_little_disagrees(spark, tmp_path):
+    model = Retail(frame(spark, TINY + random_rows(4, 100)))
+    stored = model.store(str(tmp_path / "s"))
+    repairs, products = (spark.read.parquet(f"{stored.folder}/{t}") for t in ("repairs", "products"))
+    assert 0 < repairs.count() < model.invoices().count()
+    repaired = repaired_table(model.lines, repairs, products)
+    assert "Exchange hashpartitioning" not in final_plan(repaired)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        again = repaired_table(model.lines, repairs, products)
+        assert final_plan(again).count("SortMergeJoin") == 2
+        expected = model.clean().select(*again.columns)
+        assert sorted(map(str, again.collect())) == sorted(map(str, expected.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_store_uses_the_shared_folder(spark, model):
     stored = model.store()
     assert stored.folder.startswith(shared_folder(spark))

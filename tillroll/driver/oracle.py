@@ -271,6 +271,9 @@ FROM lines NATURAL LEFT JOIN invoices"""),
         "SELECT b.*, total_invoice FROM boundaries b LEFT JOIN geo_sales s ON b.region = s.Country",
         geography=True,
     ),
+    "semi_join_boundaries": _sql(
+        "SELECT * FROM boundaries WHERE region IN (SELECT Country FROM geo_sales)", geography=True
+    ),
     "distinct_multi": _sql("SELECT DISTINCT InvoiceNo, InvoiceDate, CustomerID, Country FROM valid"),
     "normalize_invoices": _sql("SELECT * FROM invoices"),
     "normalize_products": _sql("SELECT * FROM products"),

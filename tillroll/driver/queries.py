@@ -19,7 +19,7 @@ from tillroll.driver.adapter import (
 )
 from tillroll.functions.expressions import is_in, line_total, recode, round_half_even
 from tillroll.operators.aggregates import count_by, sum_by
-from tillroll.operators.joins import left_lookup, natural_left_join
+from tillroll.operators.joins import keep_matching, left_lookup, natural_left_join
 from tillroll.operators.keyed import distinct_rows
 from tillroll.operators.ranking import descending, factor_code, share_of_total, top_n
 from tillroll.plans import analyses, maps
@@ -136,6 +136,12 @@ def join_boundaries(spark, sf):
     return left_lookup(boundaries(spark, sf), sales, {"region": "Country"})
 
 
+def semi_join_boundaries(spark, sf):
+    """Outlines of the countries with sales."""
+    sold = analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES).select("Country")
+    return keep_matching(boundaries(spark, sf), sold, {"region": "Country"})
+
+
 def clean_retail(spark, sf):
     return _report(retail(spark, sf).clean())
 
@@ -244,6 +250,7 @@ OPERATORS: dict[str, Query] = {
     "join_null_safe": join_null_safe,
     "join_natural": join_natural,
     "join_boundaries": join_boundaries,
+    "semi_join_boundaries": semi_join_boundaries,
     "distinct_multi": distinct_multi,
     "normalize_invoices": normalize_invoices,
     "normalize_products": normalize_products,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import inner_lookup, keep_matching
+from tillroll.operators.joins import inner_lookup
 from tillroll.operators.ranking import factor_code
 from tillroll.plans.analyses import (
     Names,
@@ -38,7 +38,9 @@ def map_avg_ticket(retail, boundaries: DataFrame, names: Names = MAP_NAMES) -> D
 
 def _coded_outline(boundaries: DataFrame, counts: DataFrame) -> DataFrame:
     # Codes number the counts on the map, so countries without an outline go first.
-    drawn = keep_matching(counts, boundaries.select("region").distinct(), {"Country": "region"})
+    # An inner join with the distinct names, not a semi-join: Spark would push that
+    # below the count, and the two uses of ``drawn`` would no longer share the count.
+    drawn = inner_lookup(counts, boundaries.select("region").distinct(), {"Country": "region"})
     return _outline(boundaries, factor_code(drawn, "n", "n_code"))
 
 

@@ -8,13 +8,16 @@ Most analyses need only what the invoice of a line says, and sums over its lines
 Those read ``facts``: one aggregation over the lines, one shuffle with partial
 aggregation in front, and no join. Only product questions read ``sku_lines``,
 where lines are joined to the country of their invoice.
+
+``Retail`` computes everything from the raw lines, each time. ``Retail.store``
+writes the cleaned table and the facts once, for the many analyses that follow.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import line_total
@@ -55,12 +58,40 @@ def join_relations(
     return left_lookup(with_invoice, products, "StockCode", null_safe)
 
 
-class Retail:
-    """Analysis model over raw lines that carry a ``row_order`` column.
+def invoice_sums() -> list[Column]:
+    return [F.sum(line_total()).alias("total"), F.count(F.lit(1)).alias("n_lines")]
+
+
+def lines_disagree() -> Column:
+    """Whether the lines of an invoice differ in date, customer or country."""
+    said = F.struct(*INVOICE_COLUMNS)
+    return (~F.min(said).eqNullSafe(F.max(said))).alias("mixed")
+
 
-    Every analysis computed from this class reads the raw lines again; to run
-    many of them on a large table, ``store`` the model once.
+def repair_lines(lines: DataFrame, repairs: DataFrame) -> DataFrame:
+    """Lines whose invoice is among ``repairs`` take its attributes, the others keep their own."""
+    names = {c: f"_{c}" for c in INVOICE_COLUMNS}
+    found = repairs.withColumnsRenamed(names).withColumn("_mixed", F.lit(True))
+    return left_lookup(lines, found, "InvoiceNo").select(
+        *[c for c in lines.columns if c not in names],
+        *[F.when(F.col("_mixed"), F.col(r)).otherwise(F.col(c)).alias(c) for c, r in names.items()],
+    )
+
+
+def repaired_table(lines: DataFrame, repairs: DataFrame, products: DataFrame) -> DataFrame:
+    """The wide table from valid lines, the invoices to repair, and the products.
+
+    Holds the same rows as ``join_relations``. Read the two small sides from
+    written tables: Spark then knows their true size, broadcasts them if it is
+    under the threshold, so that the lines are not shuffled at all, and
+    sort-merges otherwise.
     """
+    lines = lines.select("StockCode", "Quantity", "UnitPrice", "InvoiceNo", *INVOICE_COLUMNS)
+    return left_lookup(repair_lines(lines, repairs), products, "StockCode")
+
+
+class Retail:
+    """Analysis model over raw lines that carry a ``row_order`` column."""
 
     def __init__(self, raw: DataFrame):
         self.lines = valid_lines(raw)
@@ -80,8 +111,9 @@ class Retail:
 
     def facts(self, *columns: str) -> DataFrame:
         """Invoices with the chosen attributes, their ``total`` and their ``n_lines``."""
-        sums = [F.sum(line_total()).alias("total"), F.count(F.lit(1)).alias("n_lines")]
-        return first_by_key(self.lines, "InvoiceNo", columns or INVOICE_COLUMNS, ROW_ORDER, sums)
+        return first_by_key(
+            self.lines, "InvoiceNo", columns or INVOICE_COLUMNS, ROW_ORDER, invoice_sums()
+        )
 
     def sku_lines(self) -> DataFrame:
         """Product code, price and repaired country of every valid line."""
@@ -94,11 +126,24 @@ class Retail:
         """Write the cleaned table and the invoice facts; return a model that reads them.
 
         Without ``folder`` they go below the session's ``spark.checkpoint.dir``.
+
+        Only invoices whose lines disagree need repair, in most tables a small part.
         """
         spark = self.lines.sparkSession
         folder = folder or f"{shared_folder(spark)}/retail-{uuid.uuid4().hex}"
-        self.clean().write.parquet(f"{folder}/clean")
-        self.facts().write.parquet(f"{folder}/facts")
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        sums = [*invoice_sums(), lines_disagree()]
+        facts = first_by_key(self.lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, sums)
+        facts = written(facts, "facts")
+        repairs = facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS)
+        repairs = written(repairs, "repairs")
+        products = written(self.products(), "products")
+
+        written(repaired_table(self.lines, repairs, products), "clean")
         return StoredRetail(spark, folder)
 
 
@@ -109,12 +154,21 @@ class StoredRetail:
         self.spark = spark
         self.folder = folder
 
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
     def clean(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/clean")
+        return self._table("clean")
+
+    def products(self) -> DataFrame:
+        return self._table("products")
+
+    def invoice_lines(self) -> DataFrame:
+        return invoice_lines(self.clean())
 
     def facts(self, *columns: str) -> DataFrame:
-        facts = self.spark.read.parquet(f"{self.folder}/facts")
-        return facts.select("InvoiceNo", *(columns or INVOICE_COLUMNS), "total", "n_lines")
+        columns = columns or INVOICE_COLUMNS
+        return self._table("facts").select("InvoiceNo", *columns, "total", "n_lines")
 
     def invoices(self, *columns: str) -> DataFrame:
         return self.facts(*columns).drop("total", "n_lines")
