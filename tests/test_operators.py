@@ -15,7 +15,7 @@ from tillroll.functions.expressions import (
 from tillroll.operators.aggregates import count_distinct_by, mean_by
 from tillroll.operators.histogram import time_histogram
 from tillroll.operators.joins import inner_lookup, keep_matching, left_lookup, natural_left_join
-from tillroll.operators.keyed import distinct_rows, first_by_key
+from tillroll.operators.keyed import distinct_rows, distinct_with_first, first_by_key
 from tillroll.operators.ranking import descending, factor_code, share_of_total, top_n
 from tillroll.schema import MAP_NAMES, REGIONS
 
@@ -109,6 +109,20 @@ def test_first_by_key_with_struct_order(spark):
     assert rows(first_by_key(df.where("p = 1"), "k", ["v"], "o")) == [("a", 9)]
 
 
+@pytest.mark.parametrize("struct", [False, True])
+def test_distinct_with_first(spark, struct):
+    data = [("a", "x", "f2", 1), ("a", "x", "f1", 7), ("a", "x", "f1", 5), ("a", None, "f1", 6), (None, None, "f3", 2)]
+    df = spark.createDataFrame(data, "k string, v string, f string, i long")
+    df = df.withColumn("o", F.struct("f", "i") if struct else F.col("i"))
+    found = distinct_with_first(df, "k", "v", order="o")
+    assert found.schema["o"].dataType == df.schema["o"].dataType
+    if struct:
+        assert ("a", "x", ("f1", 5)) in rows(found) and ("a", "x", ("f1", 7)) not in rows(found)
+    else:
+        assert bag(found) == sorted([("a", "x", 1), ("a", None, 6), (None, None, 2)], key=repr)
+    assert bag(first_by_key(found, "k", ["v"], "o")) == bag(first_by_key(df, "k", ["v"], "o"))
+
+
 @pytest.fixture
 def sides(spark):
     left = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3)], "k string, x int")

@@ -85,6 +85,14 @@ def test_first_rows_are_aggregated_before_the_shuffle(model):
     assert plan.index("functions=[min(") < plan.index("Exchange") < plan.index("partial_min(")
 
 
+@pytest.mark.parametrize("sequence", ["row_id", None])
+def test_products_are_found_without_sorting_the_lines(spark, stored_lines, sequence):
+    products = Retail(read_retail(spark, stored_lines, sequence=sequence)).products()
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange"):]
+    assert "HashAggregate" in below and "Sort" not in below
+
+
 @pytest.mark.parametrize("analysis", [a.sales_by_country, a.hist_lines_region], ids=lambda f: f.__name__)
 def test_totals_share_the_shuffles_of_the_report(model, analysis):
     assert "ReusedExchange" in final_plan(analysis(model))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import line_total
 from tillroll.operators.joins import inner_lookup, left_lookup
-from tillroll.operators.keyed import first_by_key
-from tillroll.schema import INVOICE_COLUMNS, ROW_ORDER
+from tillroll.operators.keyed import distinct_with_first, first_by_key
+from tillroll.schema import INVOICE_COLUMNS, ROW_ORDER, in_file_order
 from tillroll.session import shared_folder
 
 
@@ -47,6 +47,9 @@ def invoice_lines(lines: DataFrame) -> DataFrame:
 
 def normalize_products(lines: DataFrame) -> DataFrame:
     """One row per product code, with the description of its first line."""
+    if in_file_order(lines):
+        # A task reads few products from few files.
+        lines = distinct_with_first(lines, "StockCode", "Description", order=ROW_ORDER)
     return first_by_key(lines, "StockCode", ["Description"], ROW_ORDER)
 
 

@@ -40,6 +40,8 @@ GAZETTEER_SCHEMA = T.StructType(
 # never NULL and differs on every line; it defines what "first row" means.
 ROW_ORDER = "row_order"
 
+FILE_PATH = "file_path"
+
 INVOICE_COLUMNS = ("InvoiceDate", "CustomerID", "Country")
 
 # Sales region -> source country names.
@@ -78,6 +80,12 @@ PRICE_SKUS = ("85123A", "85099B", "22423")
 PRICE_ROWS = 22
 
 
+def in_file_order(lines: DataFrame) -> bool:
+    """Whether ``row_order`` is a number or a position in a file, as ``read_retail`` makes it."""
+    kind = lines.schema[ROW_ORDER].dataType
+    return kind.names[0] == FILE_PATH if isinstance(kind, T.StructType) else isinstance(kind, T.NumericType)
+
+
 def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` to the columns of ``schema``; fail if one is missing or has another type."""
     found = {f.name: f.dataType for f in df.schema}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.schema import RETAIL_SCHEMA, ROW_ORDER, require_schema
+from tillroll.schema import FILE_PATH, RETAIL_SCHEMA, ROW_ORDER, require_schema
 
 
 def read_retail(
@@ -42,5 +42,6 @@ def read_retail(
         schema = T.StructType([*RETAIL_SCHEMA, T.StructField(sequence, T.LongType())])
         return require_schema(lines, schema).withColumnRenamed(sequence, ROW_ORDER)
     require_schema(lines, RETAIL_SCHEMA)
-    order = F.struct(F.col("_metadata.file_path"), *[p.alias(f"at_{i}") for i, p in enumerate(position)])
+    position = [p.alias(f"at_{i}") for i, p in enumerate(position)]
+    order = F.struct(F.col("_metadata.file_path").alias(FILE_PATH), *position)
     return lines.select(*RETAIL_SCHEMA.names, order.alias(ROW_ORDER))
