@@ -179,55 +179,62 @@ def export_country_sales(spark, sf):
     return country_sales_export(analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES))
 
 
-# Analyses and maps: (function, columns read, further arguments)
+def scan_boundaries(spark, sf):
+    return boundaries(spark, sf)
 
 
-def _analysis(function, columns, *args, **kwargs) -> Query:
-    return lambda spark, sf: function(retail(spark, sf, *columns), *args, **kwargs)
+# Analyses and maps: the attributes read, and the analysis of a model.
 
 
-def _map(function, columns) -> Query:
-    return lambda spark, sf: function(retail(spark, sf, *columns), boundaries(spark, sf), MAP_NAMES)
+def _analysis(function, *args, **kwargs):
+    return lambda model, spark, sf: function(model, *args, **kwargs)
 
 
-def _points(measure, columns) -> Query:
-    return lambda spark, sf: maps.geo_point_series(
-        retail(spark, sf, *columns), gazetteer(spark, sf), measure, MAP_NAMES
-    )
+def _map(function):
+    return lambda model, spark, sf: function(model, boundaries(spark, sf), MAP_NAMES)
 
 
-def scan_boundaries(spark, sf):
-    return boundaries(spark, sf)
+def _points(measure):
+    return lambda model, spark, sf: maps.geo_point_series(
+        model, gazetteer(spark, sf), measure, MAP_NAMES
+    )
 
 
-ANALYSES: dict[str, Query] = {
-    "purchases_per_customer": _analysis(analyses.purchases_per_customer, ["CustomerID"]),
-    "mean_purchases": _analysis(analyses.mean_purchases, ["CustomerID"]),
-    "list_countries": _analysis(analyses.list_countries, SALES),
-    "hist_invoices_country": _analysis(analyses.hist_invoices_country, SALES),
-    "hist_lines_region": _analysis(analyses.hist_lines_region, SALES, REGIONS),
-    "sales_by_region": _analysis(analyses.sales_by_region, SALES, REGIONS),
-    "sales_by_country": _analysis(analyses.sales_by_country, SALES),
-    "price_by_region_sku": _analysis(analyses.price_by_region_sku, SKU, REGIONS, SKUS),
-    "sku_by_region": _analysis(analyses.sku_by_region, SKU, REGIONS),
-    "sku_by_country": _analysis(analyses.sku_by_country, SKU),
-    "geo_sales": _analysis(analyses.geo_sales, SALES, MAP_NAMES),
-    "avg_ticket_by_country": _analysis(analyses.avg_ticket_by_country, SALES, MAP_NAMES),
-    "customers_by_country": _analysis(
-        analyses.customers_by_country, ["CustomerID", "Country"], MAP_NAMES
-    ),
-    "products_by_country": _analysis(analyses.products_by_country, SKU, MAP_NAMES),
-    "map_total_sales": _map(maps.map_total_sales, SALES),
-    "map_avg_ticket": _map(maps.map_avg_ticket, SALES),
-    "map_customers": _map(maps.map_customers, ["CustomerID", "Country"]),
-    "map_products": _map(maps.map_products, SKU),
-    "geo_point_series": _points("products", SKU),
-    "geo_point_series_avg_ticket": _points("avg_ticket", SALES),
-    "geo_point_series_customers": _points("customers", ["CustomerID", "Country"]),
-    "geo_point_series_total_sales": _points("total_sales", SALES),
-    "customer_scatter_series": _analysis(maps.customer_scatter_series, ["CustomerID"]),
+CUSTOMER = ("CustomerID",)
+CUSTOMER_COUNTRY = ("CustomerID", "Country")
+
+ANALYSES = {
+    "purchases_per_customer": (CUSTOMER, _analysis(analyses.purchases_per_customer)),
+    "mean_purchases": (CUSTOMER, _analysis(analyses.mean_purchases)),
+    "list_countries": (SALES, _analysis(analyses.list_countries)),
+    "hist_invoices_country": (SALES, _analysis(analyses.hist_invoices_country)),
+    "hist_lines_region": (SALES, _analysis(analyses.hist_lines_region, REGIONS)),
+    "sales_by_region": (SALES, _analysis(analyses.sales_by_region, REGIONS)),
+    "sales_by_country": (SALES, _analysis(analyses.sales_by_country)),
+    "price_by_region_sku": (SKU, _analysis(analyses.price_by_region_sku, REGIONS, SKUS)),
+    "sku_by_region": (SKU, _analysis(analyses.sku_by_region, REGIONS)),
+    "sku_by_country": (SKU, _analysis(analyses.sku_by_country)),
+    "geo_sales": (SALES, _analysis(analyses.geo_sales, MAP_NAMES)),
+    "avg_ticket_by_country": (SALES, _analysis(analyses.avg_ticket_by_country, MAP_NAMES)),
+    "customers_by_country": (CUSTOMER_COUNTRY, _analysis(analyses.customers_by_country, MAP_NAMES)),
+    "products_by_country": (SKU, _analysis(analyses.products_by_country, MAP_NAMES)),
+    "map_total_sales": (SALES, _map(maps.map_total_sales)),
+    "map_avg_ticket": (SALES, _map(maps.map_avg_ticket)),
+    "map_customers": (CUSTOMER_COUNTRY, _map(maps.map_customers)),
+    "map_products": (SKU, _map(maps.map_products)),
+    "geo_point_series": (SKU, _points("products")),
+    "geo_point_series_avg_ticket": (SALES, _points("avg_ticket")),
+    "geo_point_series_customers": (CUSTOMER_COUNTRY, _points("customers")),
+    "geo_point_series_total_sales": (SALES, _points("total_sales")),
+    "customer_scatter_series": (CUSTOMER, _analysis(maps.customer_scatter_series)),
+    "hist_lines_region_dense": (SALES, _analysis(analyses.hist_lines_region, REGIONS, dense=True)),
 }
 
+
+def _query(columns, analysis) -> Query:
+    return lambda spark, sf: analysis(retail(spark, sf, *columns), spark, sf)
+
+
 OPERATORS: dict[str, Query] = {
     "scan_retail": scan_retail,
     "scan_boundaries": scan_boundaries,
@@ -256,9 +263,6 @@ OPERATORS: dict[str, Query] = {
     "normalize_products": normalize_products,
     "clean_retail": clean_retail,
     "top_n_sku_region": top_n_sku_region,
-    "hist_lines_region_dense": _analysis(
-        analyses.hist_lines_region, SALES, REGIONS, dense=True
-    ),
 }
 
-QUERIES: dict[str, Query] = {**ANALYSES, **OPERATORS}
+QUERIES: dict[str, Query] = {n: _query(*a) for n, a in ANALYSES.items()} | OPERATORS
