@@ -106,21 +106,22 @@ def retail(spark: SparkSession, sf_dir: str, *columns: str) -> Retail:
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four vertices per nation under its map name; two nations missing, one name unknown."""
-    nation = table(spark, sf_dir, "nation").where(~F.col("n_name").isin(*NO_OUTLINE))
-    named = recode(nation.withColumnRenamed("n_name", "region"), "region", MAP_NAMES)
-    unknown = (
-        table(spark, sf_dir, "nation")
-        .where("n_nationkey = 0")
-        .selectExpr("n_nationkey + 100 AS n_nationkey", "'NOWHERE' AS region")
+    """A square per supplier under the map name of its nation; some names missing, some unknown."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    outlines = (
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .where(~F.col("n_name").isin(*NO_OUTLINE))
+        .withColumn("region", F.expr("if(s_suppkey % 25 = 7, 'NOWHERE', n_name)"))
+    )
+    vertices = recode(outlines, "region", MAP_NAMES).withColumn(
+        "v", F.explode(F.sequence(F.lit(0), F.lit(3)))
     )
-    outlines = named.select("n_nationkey", "region").unionByName(unknown)
-    vertices = outlines.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return vertices.selectExpr(
-        "cast(n_nationkey * 10 - 120 + v % 2 AS DOUBLE) AS long",
-        "cast(n_nationkey * 5 - 60 + v div 2 AS DOUBLE) AS lat",
-        "n_nationkey AS group",
-        "n_nationkey * 4 + v AS order",
+        "cast(s_suppkey % 36 * 10 - 180 + v % 2 AS DOUBLE) AS long",
+        "cast(s_suppkey % 17 * 10 - 80 + v div 2 AS DOUBLE) AS lat",
+        "cast(s_suppkey AS INT) AS group",
+        "v AS order",
         "region",
         "cast(NULL AS STRING) AS subregion",
     )

@@ -82,12 +82,13 @@ geo AS (SELECT * REPLACE ({_renamed("Country")} AS Country) FROM clean)"""
 
 GEOGRAPHY = f"""
 boundaries AS (
-  SELECT CAST(k * 10 - 120 + v % 2 AS DOUBLE) AS long,
-         CAST(k * 5 - 60 + v // 2 AS DOUBLE) AS lat,
-         k AS "group", k * 4 + v AS "order", name AS region, CAST(NULL AS VARCHAR) AS subregion
-  FROM (SELECT n_nationkey AS k, {_renamed("n_name")} AS name FROM nation
-        WHERE n_name NOT IN {_list(NO_OUTLINE)}
-        UNION ALL SELECT n_nationkey + 100, 'NOWHERE' FROM nation WHERE n_nationkey = 0) names
+  SELECT CAST(k % 36 * 10 - 180 + v % 2 AS DOUBLE) AS long,
+         CAST(k % 17 * 10 - 80 + v // 2 AS DOUBLE) AS lat,
+         CAST(k AS INTEGER) AS "group", v AS "order", {_renamed("name")} AS region,
+         CAST(NULL AS VARCHAR) AS subregion
+  FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 25 = 7 THEN 'NOWHERE' ELSE n_name END AS name
+        FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+        WHERE n_name NOT IN {_list(NO_OUTLINE)}) outlines
   CROSS JOIN (VALUES (0), (1), (2), (3)) vertices(v)
 ),
 gazetteer AS (
