@@ -62,18 +62,6 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     wanted = set(columns) or set(RETAIL_SCHEMA.names)
     lines = table(spark, sf_dir, "lineitem")
-    if "CustomerID" in wanted:
-        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        customer = F.expr("if(o_custkey % 10 = 0, NULL, cast(o_custkey AS STRING))")
-    if wanted & {"StockCode", "Description"}:
-        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    if "Country" in wanted:
-        supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     derived = {
         "InvoiceNo": F.expr("cast(l_orderkey AS STRING)"),
         "Quantity": F.expr(
@@ -87,12 +75,19 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         ),
     }
     if "CustomerID" in wanted:
-        derived["CustomerID"] = customer
-    if "StockCode" in wanted:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        derived["CustomerID"] = F.expr("if(o_custkey % 10 = 0, NULL, cast(o_custkey AS STRING))")
+    if wanted & {"StockCode", "Description"}:
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         derived["StockCode"] = F.expr("lower(concat(p_name, '-', p_brand))")
-    if "Description" in wanted:
         derived["Description"] = F.col("p_type")
     if "Country" in wanted:
+        supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         derived["Country"] = F.col("n_name")
     null = F.lit(None)
     return lines.select(
@@ -123,7 +118,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(s_suppkey AS INT) AS group",
         "v AS order",
         "region",
-        "cast(NULL AS STRING) AS subregion",
+        "if(s_suppkey % 3 = 0, 'Isle', NULL) AS subregion",
     )
 
 

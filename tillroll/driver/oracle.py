@@ -85,7 +85,7 @@ boundaries AS (
   SELECT CAST(k % 36 * 10 - 180 + v % 2 AS DOUBLE) AS long,
          CAST(k % 17 * 10 - 80 + v // 2 AS DOUBLE) AS lat,
          CAST(k AS INTEGER) AS "group", v AS "order", {_renamed("name")} AS region,
-         CAST(NULL AS VARCHAR) AS subregion
+         CASE WHEN k % 3 = 0 THEN 'Isle' END AS subregion
   FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 25 = 7 THEN 'NOWHERE' ELSE n_name END AS name
         FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
         WHERE n_name NOT IN {_list(NO_OUTLINE)}) outlines

@@ -18,6 +18,7 @@ from tillroll.operators.aggregates import (
 from tillroll.operators.histogram import time_histogram
 from tillroll.operators.keyed import distinct_rows
 from tillroll.operators.ranking import descending, share_of_total, top_n
+from tillroll.plans.retail import Model
 from tillroll.schema import MAP_NAMES, PRICE_ROWS, PRICE_SKUS, REGIONS
 
 Regions = Mapping[str, Sequence[str]]
@@ -35,13 +36,13 @@ def _as_double(df: DataFrame, measure: str) -> DataFrame:
 # Customers and time
 
 
-def purchases_per_customer(retail) -> DataFrame:
+def purchases_per_customer(retail: Model) -> DataFrame:
     """Invoices per known customer."""
     known = retail.facts("CustomerID").where(F.col("CustomerID").isNotNull())
     return descending(count_by(known, "CustomerID"), "n", "CustomerID")
 
 
-def mean_purchases(retail, include_null: bool = True) -> DataFrame:
+def mean_purchases(retail: Model, include_null: bool = True) -> DataFrame:
     """Mean number of invoices per customer; unknown customers count as one."""
     invoices = retail.facts("CustomerID")
     if not include_null:
@@ -49,20 +50,20 @@ def mean_purchases(retail, include_null: bool = True) -> DataFrame:
     return mean_count(count_by(invoices, "CustomerID"))
 
 
-def list_countries(retail, limit: int = 38) -> DataFrame:
+def list_countries(retail: Model, limit: int = 38) -> DataFrame:
     """The first ``limit`` country names."""
     countries = distinct_rows(retail.facts("Country"), "Country")
     return countries.orderBy(F.asc_nulls_last("Country")).limit(limit)
 
 
-def hist_invoices_country(retail, bins: int = 30, dense: bool = False) -> DataFrame:
+def hist_invoices_country(retail: Model, bins: int = 30, dense: bool = False) -> DataFrame:
     """Invoices over time by country."""
     invoices = retail.facts("InvoiceDate", "Country")
     return time_histogram(invoices, "InvoiceDate", "Country", bins=bins, dense=dense)
 
 
 def hist_lines_region(
-    retail, regions: Regions = REGIONS, bins: int = 30, dense: bool = False
+    retail: Model, regions: Regions = REGIONS, bins: int = 30, dense: bool = False
 ) -> DataFrame:
     """Invoice lines over time by region."""
     invoices = with_region(retail.facts("InvoiceDate", "Country"), regions)
@@ -78,16 +79,16 @@ def _sales(invoices: DataFrame, key: str) -> DataFrame:
     return descending(_as_double(shares, "total_invoice"), "total_invoice", key)
 
 
-def sales_by_region(retail, regions: Regions = REGIONS) -> DataFrame:
+def sales_by_region(retail: Model, regions: Regions = REGIONS) -> DataFrame:
     return _sales(with_region(retail.facts("Country"), regions), "Region")
 
 
-def sales_by_country(retail) -> DataFrame:
+def sales_by_country(retail: Model) -> DataFrame:
     return _sales(retail.facts("Country"), "Country")
 
 
 def price_by_region_sku(
-    retail,
+    retail: Model,
     regions: Regions = REGIONS,
     skus: Sequence[str] = PRICE_SKUS,
     limit: int = PRICE_ROWS,
@@ -103,13 +104,13 @@ def price_by_region_sku(
     return top_n(prices, limit, "unidades", "Region", "StockCode")
 
 
-def sku_by_region(retail, regions: Regions = REGIONS) -> DataFrame:
+def sku_by_region(retail: Model, regions: Regions = REGIONS) -> DataFrame:
     """Different products sold per region."""
     lines = with_region(retail.sku_lines(), regions)
     return descending(count_distinct_by(lines, "Region", "StockCode"), "n", "Region")
 
 
-def sku_by_country(retail) -> DataFrame:
+def sku_by_country(retail: Model) -> DataFrame:
     """Different products sold per country."""
     return descending(count_distinct_by(retail.sku_lines(), "Country", "StockCode"), "n", "Country")
 
@@ -118,43 +119,43 @@ def sku_by_country(retail) -> DataFrame:
 # unsorted so that the maps can use them; the reports sort them.
 
 
-def country_sales(retail, names: Names = MAP_NAMES) -> DataFrame:
+def country_sales(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     invoices = recode(retail.facts("Country"), "Country", names)
     return _as_double(sum_by(invoices, "Country", "total", "total_invoice"), "total_invoice")
 
 
-def country_tickets(retail, names: Names = MAP_NAMES) -> DataFrame:
+def country_tickets(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     invoices = recode(retail.facts("Country"), "Country", names)
     return mean_by(invoices, "Country", "total", "venta_promedio")
 
 
-def country_customers(retail, names: Names = MAP_NAMES, include_null: bool = True) -> DataFrame:
+def country_customers(retail: Model, names: Names = MAP_NAMES, include_null: bool = True) -> DataFrame:
     invoices = recode(retail.facts("CustomerID", "Country"), "Country", names)
     return count_distinct_by(invoices, "Country", "CustomerID", include_null)
 
 
-def country_products(retail, names: Names = MAP_NAMES) -> DataFrame:
+def country_products(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     lines = recode(retail.sku_lines(), "Country", names)
     return count_distinct_by(lines, "Country", "StockCode")
 
 
-def geo_sales(retail, names: Names = MAP_NAMES) -> DataFrame:
+def geo_sales(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     """Total sales per country."""
     return descending(country_sales(retail, names), "total_invoice", "Country")
 
 
-def avg_ticket_by_country(retail, names: Names = MAP_NAMES) -> DataFrame:
+def avg_ticket_by_country(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     """Mean invoice total per country."""
     return descending(country_tickets(retail, names), "venta_promedio", "Country")
 
 
 def customers_by_country(
-    retail, names: Names = MAP_NAMES, include_null: bool = True
+    retail: Model, names: Names = MAP_NAMES, include_null: bool = True
 ) -> DataFrame:
     """Customers per country; unknown customers count as one."""
     return descending(country_customers(retail, names, include_null), "n", "Country")
 
 
-def products_by_country(retail, names: Names = MAP_NAMES) -> DataFrame:
+def products_by_country(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
     """Different products sold per country."""
     return descending(country_products(retail, names), "n", "Country")

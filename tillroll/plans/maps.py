@@ -15,6 +15,7 @@ from tillroll.plans.analyses import (
     country_tickets,
     purchases_per_customer,
 )
+from tillroll.plans.retail import Model
 from tillroll.schema import MAP_NAMES
 from tillroll.sources.gazetteer import locate
 
@@ -28,11 +29,11 @@ def _outline(boundaries: DataFrame, measure: DataFrame) -> DataFrame:
     return inner_lookup(boundaries, measure, {"region": "Country"})
 
 
-def map_total_sales(retail, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
+def map_total_sales(retail: Model, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
     return _outline(boundaries, country_sales(retail, names))
 
 
-def map_avg_ticket(retail, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
+def map_avg_ticket(retail: Model, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
     return _outline(boundaries, country_tickets(retail, names))
 
 
@@ -44,11 +45,11 @@ def _coded_outline(boundaries: DataFrame, counts: DataFrame) -> DataFrame:
     return _outline(boundaries, factor_code(drawn, "n", "n_code"))
 
 
-def map_customers(retail, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
+def map_customers(retail: Model, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
     return _coded_outline(boundaries, country_customers(retail, names))
 
 
-def map_products(retail, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
+def map_products(retail: Model, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:
     return _coded_outline(boundaries, country_products(retail, names))
 
 
@@ -74,12 +75,12 @@ POINT_MEASURES = {
 
 
 def geo_point_series(
-    retail, gazetteer: DataFrame, measure: str, names: Names = MAP_NAMES
+    retail: Model, gazetteer: DataFrame, measure: str, names: Names = MAP_NAMES
 ) -> DataFrame:
     frame, column = POINT_MEASURES[measure]
     return point_series(frame(retail, names), column, gazetteer)
 
 
-def customer_scatter_series(retail) -> DataFrame:
+def customer_scatter_series(retail: Model) -> DataFrame:
     """Customer and number of purchases: the points of a scatter chart."""
     return purchases_per_customer(retail).select("CustomerID", "n")

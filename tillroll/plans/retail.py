@@ -178,3 +178,6 @@ class StoredRetail:
 
     def sku_lines(self) -> DataFrame:
         return self.clean().select("StockCode", "UnitPrice", "Country")
+
+
+Model = Retail | StoredRetail

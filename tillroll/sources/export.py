@@ -16,7 +16,7 @@ def country_sales_export(sales: DataFrame) -> DataFrame:
     return descending(renamed, EXPORT_MEASURE, "Country")
 
 
-def write_country_sales(sales: DataFrame, path: str) -> None:
+def write_country_sales(sales: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write the export as CSV with a header.
 
     Amounts are written in plain notation without trailing zeros. Part files are
@@ -24,4 +24,4 @@ def write_country_sales(sales: DataFrame, path: str) -> None:
     """
     plain = F.regexp_replace(F.col(EXPORT_MEASURE).cast("decimal(33,3)").cast("string"), r"\.?0+$", "")
     rows = country_sales_export(sales)
-    rows.withColumn(EXPORT_MEASURE, plain).write.mode("overwrite").option("header", True).csv(path)
+    rows.withColumn(EXPORT_MEASURE, plain).write.mode(mode).option("header", True).csv(path)
