@@ -2,6 +2,7 @@
 
 import re
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from data import TINY, frame, random_rows
@@ -184,3 +185,12 @@ def test_store_uses_the_shared_folder(spark, model):
     stored = model.store()
     assert stored.folder.startswith(shared_folder(spark))
     assert a.sales_by_country(stored).collect() == a.sales_by_country(model).collect()
+
+
+def test_shared_folder_must_be_named():
+    unset = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(unset)
