@@ -42,6 +42,19 @@ def test_clean_keeps_every_line(case):
     ]
 
 
+def test_clean_with_plain_equality(case):
+    model, brute = case
+    clean = model.clean(null_safe=False)
+    expected = []
+    for r in brute.clean:
+        if r["InvoiceNo"] is None:
+            r = {**r, "InvoiceDate": None, "CustomerID": None, "Country": None}
+        if r["StockCode"] is None:
+            r = {**r, "Description": None}
+        expected.append(tuple(r[c] for c in clean.columns))
+    assert sorted(rows(clean), key=repr) == sorted(expected, key=repr)
+
+
 def test_sales(case):
     model, brute = case
     for got, want in (

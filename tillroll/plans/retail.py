@@ -108,9 +108,13 @@ class Retail:
     def products(self) -> DataFrame:
         return normalize_products(self.lines)
 
-    def clean(self) -> DataFrame:
-        """The wide table: one row per valid line."""
-        return join_relations(self.invoice_lines(), self.invoices(), self.products())
+    def clean(self, null_safe: bool = True) -> DataFrame:
+        """The wide table: one row per valid line.
+
+        With ``null_safe=False`` a line without invoice number or product code
+        finds no invoice or product.
+        """
+        return join_relations(self.invoice_lines(), self.invoices(), self.products(), null_safe)
 
     def facts(self, *columns: str) -> DataFrame:
         """Invoices with the chosen attributes, their ``total`` and their ``n_lines``."""
