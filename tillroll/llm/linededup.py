@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import arrow_schema, column, map_rows, record_batch, slices, stored
+from tillroll.llm.common import arrow_schema, column, importable, map_rows, record_batch, slices, stored
 from tillroll.llm.words import mix
 
 MIN_CHARS = 10
@@ -217,7 +217,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shards = max(1, repeated.count() // SHARD_KEYS)
     shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
     arrays = (
-        repeated.select(shard, "h1", "h2", "n", "owner")
+        importable(repeated).select(shard, "h1", "h2", "n", "owner")
         .groupBy("shard")
         .applyInArrow(_build_shard, "shard int, arrays binary")
     )

@@ -13,12 +13,15 @@ more; groups are the connected components of the links.
    threshold shares none with a probability of at most MISS.
 4. In a bucket all classes are paired with the smallest one, never with each other.
    Pairs have to pass the size ratio, the joint likelihood estimate of the similarity from
-   the registers (less SLACK; over five standard errors) and the exact comparison of
+   the registers (five standard errors below the threshold) and the exact comparison of
    the full sets. Links give components.
-5. Buckets that then still hold several components are finished: pairs across their
-   components that were not yet tried go through the same tests. So no pair that shares
-   a bucket is left out unless its documents are already in one component, and the hot
-   buckets of large groups have collapsed before pairs are made.
+5. Buckets that then still hold several components are finished. Pairs across the
+   components of a bucket of up to SMALL classes go through the same tests. Larger buckets
+   that share classes are one crowd, of documents a little less similar than the threshold.
+   A crowd is cut into blocks of bounded size, and a task compares two blocks: common
+   shingles are counted by a matrix product, and of the links found it returns those that
+   join components, at most one for each document. So no pair that shares a bucket is left
+   out unless its documents are already in one component, and no task makes rows of pairs.
 
 Cases: a text without words, NULL or empty, has an empty set and is linked with
 nothing; a text of fewer than k words has one shingle, the whole sequence; repeated rows
@@ -37,14 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import column, map_rows, stored
+from tillroll.llm.common import column, importable, map_rows, stored
 from tillroll.llm.components import components
 from tillroll.llm.words import mix, shingles, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 BAND_ROWS = 8
 MISS = 1e-6
-SLACK = 0.15
+SMALL = 16
+# Of a block of a crowd: documents, shingles; and the columns of a matrix at a time.
+BLOCK_SETS, BLOCK_ITEMS, BLOCK_COLUMNS = 1024, 1 << 17, 8192
 # Sketch parameters: base, rate, largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 
@@ -155,8 +160,10 @@ def _similar_size(percent: int) -> str:
 class _Verifier:
     """The tests a pair of classes has to pass, for one corpus."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, registers: int):
         self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
+        t = percent / 100
+        self.least = t - 5 * math.sqrt(t * (1 - t) / registers)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the ``pairs`` (a, b) whose full sets are similar enough."""
@@ -164,8 +171,7 @@ class _Verifier:
         ids = likely.select(F.col("a").alias("doc_id")).unionByName(
             likely.select(F.col("b").alias("doc_id"))
         )
-        texts = self.docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
-        sets = map_rows(texts, "doc_id bigint, items binary", self._sets())
+        sets = self.sets(ids.distinct())
         both = likely.join(sets.withColumnsRenamed({"doc_id": "a", "items": "x"}), "a").join(
             sets.withColumnsRenamed({"doc_id": "b", "items": "y"}), "b"
         )
@@ -183,17 +189,19 @@ class _Verifier:
 
         return stored(map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", confirm), "links")
 
-    def _sets(self):
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, items): the full sets of the documents of ``ids`` (doc_id)."""
         k = self.k
 
         def work(batch: pa.RecordBatch) -> list:
             sets = [s.tobytes() for s in text_sets(column(batch, "text"), k)]
             return [batch.column(batch.schema.get_field_index("doc_id")), sets]
 
-        return work
+        texts = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        return map_rows(texts, "doc_id bigint, items binary", work)
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
-        least = self.percent / 100 - SLACK
+        least = self.least
         side = self.classes.select("rep", "n", "registers")
         both = pairs.join(
             side.withColumnsRenamed({"rep": "a", "n": "na", "registers": "x"}), "a"
@@ -210,6 +218,85 @@ class _Verifier:
         return map_rows(both, "a bigint, b bigint", near).distinct()
 
 
+def _crowds(rest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, crowd) for the classes in large buckets; buckets with a class in common are one crowd."""
+    large = rest.join(sizes.where(f"members > {SMALL}"), "key")
+    edges = large.select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    return stored(components(edges).withColumnsRenamed({"node": "rep", "component": "crowd"}), "crowds")
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all similar ``members`` (crowd, rep, n, component) of each crowd."""
+    size = members.groupBy("crowd").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS)
+        ).cast("int").alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    placed = (
+        members.join(size, "crowd")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = block_links(
+            *(table[c].to_pylist() for c in ("rep", "component", "own", "items")), percent
+        )
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = placed.select("crowd", "i", "j", "rep", "component", "own", "items")
+    return importable(rows).groupBy("crowd", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def block_links(
+    reps: list[int], components: list[int], blocks: list[int], items: list[bytes], percent: int
+) -> tuple[list[int], list[int]]:
+    """Similar pairs that join components, of documents of two blocks (or of one).
+
+    Pairs inside a block are left to the task that has only that block.
+    """
+    sets = [np.frombuffer(x, np.uint64) for x in items]
+    block = np.asarray(blocks)
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    size = np.array([len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    rank = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[code]
+    owner, rank = owner[rank >= 0], rank[rank >= 0]
+    order = np.argsort(rank, kind="stable")
+    owner, rank = owner[order], rank[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, BLOCK_COLUMNS):
+        some = slice(*np.searchsorted(rank, [low, low + BLOCK_COLUMNS]))
+        has = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+        has[owner[some], rank[some] - low] = 1
+        common += has[left] @ has[right].T
+    _, group = np.unique(np.asarray(components), return_inverse=True)
+    union = size[left][:, None] + size[right][None, :] - common
+    linked = (100 * common >= percent * union) & (group[left][:, None] != group[right][None, :])
+    parent, a, b = list(range(len(sets))), [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(*(index.tolist() for index in np.nonzero(linked))):
+        p, q = left[x], right[y]
+        u, v = root(int(group[p])), root(int(group[q]))
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            a.append(reps[p])
+            b.append(reps[q])
+    return a, b
+
+
 def near_duplicates(
     docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = BAND_ROWS
 ) -> DataFrame:
@@ -225,6 +312,7 @@ def near_duplicates(
         ),
         "classes",
     )
+    verifier = _Verifier(docs, classes, k, percent, registers)
     buckets = _buckets(classes.select("rep", "n", "registers"), rows)
     centers = (
         buckets.groupBy("key")
@@ -233,43 +321,19 @@ def near_duplicates(
         .select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("nc"))
     )
     shared = stored(buckets.join(centers, "key"), "buckets")
-    verifier = _Verifier(docs, classes, k, percent)
     star = (
         shared.where("rep != center")
-        .select(F.col("center").alias("a"), F.col("rep").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))
+        .selectExpr("center AS a", "rep AS b", "nc AS na", "n AS nb")
         .where(_similar_size(percent))
         .select("a", "b")
         .distinct()
     )
     links = verifier.links(star)
-    first = components(links)
-    placed = shared.join(first, shared["rep"] == first["node"], "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
-    )
-    open_ = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("key")
-    )
-    rest = stored(placed.join(open_, "key", "left_semi"), "open-buckets")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = (
-        x.join(y, "key")
-        .where("a < b AND ca != cb")
-        .where(_similar_size(percent))
-        .select("a", "b")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(verifier.links(across))
+    links = links.unionByName(_remaining_links(shared, star, components(links), verifier))
     final = components(links).withColumnsRenamed({"node": "rep", "component": "root"})
     label = classes.select("d1", "d2", "rep").join(final, "rep", "left")
     grouped = sketches.drop("registers").join(label, ["d1", "d2"], "left")
-    component = F.when(
-        F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return grouped.select(
         "doc_id",
         "n_shingles",
@@ -278,6 +342,48 @@ def near_duplicates(
     )
 
 
+def _remaining_links(
+    shared: DataFrame, tried: DataFrame, placed: DataFrame, verifier: _Verifier
+) -> DataFrame:
+    """Links across the components (``placed``) that meet in a bucket; ``tried`` pairs are known."""
+    named = shared.join(placed, shared["rep"] == placed["node"], "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+    )
+    sizes = (
+        named.groupBy("key")
+        .agg(
+            F.min("component").alias("first"),
+            F.max("component").alias("last"),
+            F.min("rep").alias("low"),
+            F.count("*").alias("members"),
+        )
+        .where("first < last")
+        .select("key", "low", "members")
+    )
+    rest = stored(named.join(sizes, "key").select("key", "rep", "n", "component", "low", "members"), "open-buckets")
+    sizes = rest.select("key", "low", "members").distinct()
+    rest = rest.drop("low", "members")
+    crowds = _crowds(rest, sizes)
+    members = rest.select("rep", "n", "component").distinct().join(crowds, "rep")
+    dense = _crowd_links(members, verifier.sets(crowds.select(F.col("rep").alias("doc_id"))), verifier.percent)
+    side = (
+        rest.join(sizes.where(f"members <= {SMALL}"), "key", "left_semi")
+        .join(crowds, "rep", "left")
+        .select("key", "rep", "n", "component", F.coalesce("crowd", F.lit(-1) - F.col("rep")).alias("crowd"))
+    )
+    x = side.selectExpr("key", "rep AS a", "n AS na", "component AS ca", "crowd AS wa")
+    y = side.selectExpr("key", "rep AS b", "n AS nb", "component AS cb", "crowd AS wb")
+    across = (
+        x.join(y, "key")
+        .where("a < b AND ca != cb AND wa != wb")
+        .where(_similar_size(verifier.percent))
+        .select("a", "b")
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+    return verifier.links(across).unionByName(stored(dense, "crowd-links"))
+
+
 def near_dedup_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"), k=3, percent=85)
 

@@ -39,22 +39,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _buffer_words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of one buffer."""
+def buffer_words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of one buffer."""
     buf = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(buf) + 2, np.int8)
     inside[1:-1] = ~_SPACE[buf]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
-        return np.empty(0, np.uint64), start
+        return np.empty(0, np.uint64), start, end
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_VALUE_LOWER if lower else _VALUE)[buf] * _powers(_BASE, len(buf)), out=sums[1:])
     hashes = (sums[end] - sums[start]) * _powers(_INVERSE, int(start[-1]) + 1)[start]
-    return mix(hashes), start
+    return mix(hashes), start, end
 
 
-def _pieces(text: bytes):
+def pieces(text: bytes):
+    """The text cut at white space into runs of about PIECE bytes."""
     at = 0
     while len(text) - at > PIECE:
         cut = at + PIECE
@@ -70,11 +71,11 @@ def word_hashes(texts: Sequence[bytes], lower: bool) -> tuple[np.ndarray, np.nda
 
     ``lower`` folds A-Z only.
     """
-    if sum(map(len, texts)) <= PIECE:
-        hashes, start = _buffer_words(b"\n".join(texts), lower)
+    if sum(map(len, texts)) <= PIECE or len(texts) == 0:
+        hashes, start, _ = buffer_words(b"\n".join(texts), lower)
         offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
         return hashes, np.diff(np.searchsorted(start, offsets))
-    found = [np.concatenate([_buffer_words(p, lower)[0] for p in _pieces(t)]) for t in texts]
+    found = [np.concatenate([buffer_words(p, lower)[0] for p in pieces(t)]) for t in texts]
     return np.concatenate(found), np.array([len(f) for f in found], np.int64)
 
 
