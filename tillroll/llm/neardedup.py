@@ -160,8 +160,8 @@ def _similar_size(percent: int) -> str:
 class _Verifier:
     """The tests a pair of classes has to pass, for one corpus."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, registers: int):
-        self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
+    def __init__(self, texts: DataFrame, classes: DataFrame, k: int, percent: int, registers: int):
+        self.texts, self.classes, self.k, self.percent = texts, classes, k, percent
         t = percent / 100
         self.least = t - 5 * math.sqrt(t * (1 - t) / registers)
 
@@ -197,7 +197,7 @@ class _Verifier:
             sets = [s.tobytes() for s in text_sets(column(batch, "text"), k)]
             return [batch.column(batch.schema.get_field_index("doc_id")), sets]
 
-        texts = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        texts = self.texts.join(ids, "doc_id", "left_semi")
         return map_rows(texts, "doc_id bigint, items binary", work)
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
@@ -312,7 +312,6 @@ def near_duplicates(
         ),
         "classes",
     )
-    verifier = _Verifier(docs, classes, k, percent, registers)
     buckets = _buckets(classes.select("rep", "n", "registers"), rows)
     centers = (
         buckets.groupBy("key")
@@ -321,6 +320,10 @@ def near_duplicates(
         .select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("nc"))
     )
     shared = stored(buckets.join(centers, "key"), "buckets")
+    # Only these classes can have a partner: their texts are moved once, all else reads the copy.
+    met = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = stored(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), "texts")
+    verifier = _Verifier(texts, classes, k, percent, registers)
     star = (
         shared.where("rep != center")
         .selectExpr("center AS a", "rep AS b", "nc AS na", "n AS nb")
