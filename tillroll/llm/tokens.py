@@ -22,7 +22,7 @@ from tillroll.llm.words import PIECE, buffer_words, pieces
 
 WORD_BPE = "word_bpe_49k.json"
 # Words, and pieces, a worker remembers; with more it starts anew.
-MEMORY = 800_000
+MEMORY = 250_000
 
 _END = "</w>"
 # Stands for the end of a line among ids.
