@@ -3,8 +3,8 @@
 Base spans come from three patterns (assigned values, access keys, long hex strings).
 The battery adds spans of kind "random":
 
-1. Candidates are runs of 20 or more of ``A-Z a-z 0-9 + / _ -`` with at least two of the
-   classes upper, lower, digit. The smallest of a few alphabets that holds a run is its
+1. Candidates are runs of 20 or more of ``A-Z a-z 0-9 + / _ -`` with a letter and a digit,
+   unless punctuation cuts them into several plain words. The smallest of a few alphabets that holds a run is its
    inferred encoding (hex, base 32, base 36, base 62, base 64); characters become values.
 2. Three tests ask whether the values look uniform and independent: chi-squared over equal
    cells of the alphabet (as many as the length allows), the number of runs above and below
@@ -49,7 +49,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH = 20
-ALPHA = 1e-4
+ALPHA = 5e-3
 FDR = 0.01
 # Weight, in decoys, of all strata together in the moments of one.
 PRIOR = 50
@@ -58,6 +58,9 @@ BINS_PER_DECADE, MAX_DECADES = 20, 40
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
 _WORDS_NEAR = re.compile(r"[A-Za-z0-9]+")
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_LETTERS = _UPPER + _LOWER
+# Parts of a run between punctuation that are letters only.
+_PARTS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
 ENCODINGS = [
     ("hex", _DIGIT + "abcdef"),
     ("HEX", _DIGIT + "ABCDEF"),
@@ -92,10 +95,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding_of(run: str) -> int | None:
-    """Index of the smallest alphabet that holds the run, if it mixes classes of characters."""
+    """Index of the smallest alphabet that holds the run; None if it is no candidate."""
     used = set(run)
-    kinds = sum(not used.isdisjoint(c) for c in (_UPPER, _LOWER, _DIGIT))
-    if kinds < 2:
+    if used.isdisjoint(_DIGIT) or used.isdisjoint(_LETTERS):
+        return None
+    plain = (len(p) > 2 and (p.islower() or p.isupper() or p.istitle()) for p in _PARTS.findall(run))
+    if not used.isdisjoint("+/_-") and sum(plain) > 1:
         return None
     return next((i for i, s in enumerate(_SETS) if used <= s), None)
 
