@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,29 @@ def bag(df):
     return sorted(rows(df), key=repr)
 
 
+def test_is_in_with_null_in_the_list(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    assert rows(df.select(is_in("x", ["a", None]), ~is_in("x", ["a", None]))) == [
+        (True, False), (False, True), (True, False),
+    ]
+
+
+def test_factor_code_of_many_values(spark):
+    df = spark.range(5000).selectExpr("(id * id) % 7919 AS n")
+    rank = {v: i for i, v in enumerate(sorted({k * k % 7919 for k in range(5000)}), 1)}
+    coded = factor_code(df, "n", "code")
+    assert all(rank[r.n] == r.code for r in coded.collect())
+    assert "Window [row_number() windowspecdefinition(n" not in coded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histogram_is_binned_before_the_shuffle(spark):
+    df = spark.range(3000).selectExpr("timestamp_micros(id * 1000003) t", "id % 3 AS g")
+    binned = time_histogram(df, "t", "g")
+    assert sum(r.n for r in binned.collect()) == 3000
+    plan = binned._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(t#", plan)
+
+
 def test_is_in_is_never_null(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
     assert rows(df.select(is_in("x", ["a"]), ~is_in("x", ["a"]))) == [

@@ -191,7 +191,7 @@ ORACLE: dict[str, str] = {
     "mean_purchases": _sql("""
 SELECT CAST(sum(n) AS DOUBLE) / count(*) AS mean_n
 FROM (SELECT CustomerID, count(*) AS n FROM invoices GROUP BY CustomerID)"""),
-    "list_countries": _sql("SELECT DISTINCT Country FROM invoices ORDER BY Country NULLS LAST LIMIT 38"),
+    "list_countries": _sql("SELECT DISTINCT Country FROM invoices ORDER BY Country NULLS LAST"),
     "hist_invoices_country": _histogram("invoices", "Country"),
     "hist_lines_region": _histogram("clean", "Region"),
     "hist_lines_region_dense": _histogram("clean", "Region", dense=True),
@@ -201,7 +201,7 @@ FROM (SELECT CustomerID, count(*) AS n FROM invoices GROUP BY CustomerID)"""),
 SELECT Region, StockCode, CAST(sum(UnitPrice) AS DOUBLE) / count(*) AS precio_promedio,
        count(*) AS unidades
 FROM clean GROUP BY Region, StockCode HAVING StockCode IN {_list(SKUS)}
-ORDER BY unidades DESC, Region NULLS LAST, StockCode LIMIT 22"""),
+ORDER BY unidades DESC, Region NULLS LAST, StockCode"""),
     "sku_by_region": _sql("""
 SELECT Region, count(*) AS n FROM (SELECT DISTINCT Region, StockCode FROM clean)
 GROUP BY Region ORDER BY n DESC, Region NULLS LAST"""),

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 def is_in(column: str | Column, values: Sequence) -> Column:
-    """Set membership that is false, not NULL, for a NULL value.
+    """Set membership that is never NULL: a NULL is a member if ``values`` has one.
 
-    Both halves of the condition can be pushed to a Parquet scan.
+    All parts of the condition can be pushed to a Parquet scan.
     """
     column = F.col(column) if isinstance(column, str) else column
-    return column.isNotNull() & column.isin(list(values))
+    known = [v for v in values if v is not None]
+    found = column.isNotNull() & column.isin(known)
+    return found if len(known) == len(values) else found | column.isNull()
 
 
 def classify(column: str | Column, groups: Mapping[str, Sequence]) -> Column:

@@ -28,16 +28,19 @@ def time_histogram(
         raise ValueError("a histogram needs at least two bins")
     steps = 2 * (bins - 1)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = (
-        df.where(F.col(time).isNotNull()).groupBy(time, category).agg(n.cast("bigint").alias("n"))
-    )
-    # "n" is read here as well, so that this branch has the same shuffles as the
-    # main one and Spark runs them once.
-    bounds = counted.agg(
-        F.struct(F.min(time).alias("low"), F.max(time).alias("high"), F.sum("n").alias("n"))
+    dated = df.where(F.col(time).isNotNull())
+    # The other columns are read here as well, so that this branch has the same
+    # shuffles below it as the main one and Spark runs them once.
+    bounds = dated.agg(
+        F.struct(
+            F.min(time).alias("low"),
+            F.max(time).alias("high"),
+            n.alias("n"),
+            F.count(category).alias("c"),
+        )
     ).scalar()
     placed = (
-        counted.withColumn("_bounds", bounds)
+        dated.withColumn("_bounds", bounds)
         .withColumn("_low", F.col("_bounds.low"))
         .withColumn("_range", micros_between(F.col("_low"), F.col("_bounds.high")))
         .withColumn("_after", micros_between(F.col("_low"), F.col(time)))
@@ -46,7 +49,9 @@ def time_histogram(
             F.expr(f"if(_range = 0, 1L, ({steps} * _after + 3 * _range - 1) div (2 * _range))"),
         )
     )
-    binned = placed.groupBy("bin", "_low", "_range", category).agg(F.sum("n").alias("n"))
+    # Rows are binned before they are summed, so that at most bins times categories rows
+    # of each task are shuffled, however fine the times are.
+    binned = placed.groupBy("bin", "_low", "_range", category).agg(n.cast("bigint").alias("n"))
     if dense:
         groups = binned.select("_low", "_range", category).distinct()
         every = groups.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))

@@ -20,17 +20,33 @@ def first_by_key(
     values: Sequence[str],
     order: str,
     aggregates: Sequence[Column] = (),
+    mixed: str | None = None,
 ) -> DataFrame:
-    """``key`` and the ``values`` of its first row by ``order``, plus ``aggregates`` over its rows.
+    """``key`` and the ``values`` of its first row by ``order``, plus ``aggregates`` (named sums
+    and counts) over its rows.
 
     ``min`` of a struct that starts with the order column takes all values from
     one row, NULLs included, whatever the partitioning. It is an aggregate, so
     each map task sends one row per key and a key that holds much of the table
     costs the reducer one row per map task; a window would sort all its rows in
     one task. Pass only the values needed: the struct is not pruned.
+
+    Spark aggregates a struct by sorting. Where the order is a number, the rows are
+    therefore first hashed by key and values, with the lowest number and the sums of each;
+    only what is left, one row for most keys, is sorted. ``mixed`` names a column that says
+    whether the values of a key differ.
     """
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        df = df.groupBy(key, *values).agg(F.min(order).alias(order), *aggregates)
+        names = df.columns[len(values) + 2 :]
+        aggregates = [F.sum(c).cast(df.schema[c].dataType).alias(c) for c in names]
+        differ = F.count(F.lit(1)) > 1
+    else:
+        said = F.struct(*values)
+        differ = ~F.min(said).eqNullSafe(F.max(said))
     first = F.min(F.struct(order, *values)).alias("_first")
-    rows = df.groupBy(key).agg(first, *aggregates)
+    more = [differ.alias(mixed)] if mixed else []
+    rows = df.groupBy(key).agg(first, *aggregates, *more)
     extra = [c for c in rows.columns if c not in (key, "_first")]
     return rows.select(key, *[F.col("_first")[v].alias(v) for v in values], *extra)
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tillroll.operators.joins import left_lookup
 
 
+RANGES = 1024
+
+
 def descending(df: DataFrame, measure: str, *ties: str) -> DataFrame:
     """Sort by ``measure`` from high to low, NULLs last, ties by the key columns."""
     return df.orderBy(F.desc_nulls_last(measure), *[F.asc_nulls_last(c) for c in ties])
@@ -31,10 +34,22 @@ def share_of_total(df: DataFrame, measure: str, name: str = "porcentage") -> Dat
 def factor_code(df: DataFrame, count: str, name: str) -> DataFrame:
     """Code the distinct values of a count column 1..k in ascending order.
 
-    Only the distinct values are ranked in one place. Different counts of rows of
-    one table of N rows sum to at most N, so there are fewer than sqrt(2 N) of
-    them: under 5 million for ten trillion rows. A NULL count has a NULL code.
+    The distinct values fall into RANGES ranges of equal width. A value is ranked within
+    its range, and the values in lower ranges are added from one small list, so no
+    task ranks them all. A NULL count has a NULL code.
     """
     values = df.select(count).where(F.col(count).isNotNull()).distinct()
-    codes = values.withColumn(name, F.row_number().over(Window.orderBy(count)).cast("bigint"))
+    bounds = values.agg(F.struct(F.min(count).alias("low"), F.max(count).alias("high"))).scalar()
+    width = (F.col("_bounds.high") - F.col("_bounds.low")).cast("double") + 1
+    place = (F.col(count) - F.col("_bounds.low")).cast("double") * RANGES / width
+    ranged = values.withColumn("_bounds", bounds).select(count, F.floor(place).alias("_range"))
+    sizes = ranged.groupBy("_range").agg(F.sum(F.lit(1).cast("bigint")).alias("n"))
+    sizes = sizes.agg(F.collect_list(F.struct("_range", "n")).alias("sizes")).scalar()
+    lower = F.aggregate(
+        F.filter(F.col("_sizes"), lambda s: s["_range"] < F.col("_range")),
+        F.lit(0).cast("bigint"),
+        lambda total, s: total + s["n"],
+    )
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(count))
+    codes = ranged.withColumn("_sizes", sizes).select(count, (within + lower).cast("bigint").alias(name))
     return left_lookup(df, codes, count, null_safe=False)

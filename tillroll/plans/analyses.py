@@ -19,7 +19,7 @@ from tillroll.operators.histogram import time_histogram
 from tillroll.operators.keyed import distinct_rows
 from tillroll.operators.ranking import descending, share_of_total, top_n
 from tillroll.plans.retail import Model
-from tillroll.schema import MAP_NAMES, PRICE_ROWS, PRICE_SKUS, REGIONS
+from tillroll.schema import MAP_NAMES, PRICE_SKUS, REGIONS
 
 Regions = Mapping[str, Sequence[str]]
 Names = Mapping[str, str]
@@ -50,10 +50,11 @@ def mean_purchases(retail: Model, include_null: bool = True) -> DataFrame:
     return mean_count(count_by(invoices, "CustomerID"))
 
 
-def list_countries(retail: Model, limit: int = 38) -> DataFrame:
-    """The first ``limit`` country names."""
+def list_countries(retail: Model, limit: int | None = None) -> DataFrame:
+    """The country names, or the first ``limit`` of them."""
     countries = distinct_rows(retail.facts("Country"), "Country")
-    return countries.orderBy(F.asc_nulls_last("Country")).limit(limit)
+    ordered = countries.orderBy(F.asc_nulls_last("Country"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def hist_invoices_country(retail: Model, bins: int = 30, dense: bool = False) -> DataFrame:
@@ -91,9 +92,10 @@ def price_by_region_sku(
     retail: Model,
     regions: Regions = REGIONS,
     skus: Sequence[str] = PRICE_SKUS,
-    limit: int = PRICE_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Mean price and number of lines of chosen products in each region."""
+    """Mean price and number of lines of chosen products in each region; all rows, or the
+    first ``limit``."""
     lines = with_region(retail.sku_lines(), regions).where(is_in("StockCode", skus))
     sums = lines.groupBy("Region", "StockCode").agg(
         F.sum("UnitPrice").alias("_price"), F.count(F.lit(1)).alias("unidades")
@@ -101,7 +103,8 @@ def price_by_region_sku(
     prices = sums.select(
         "Region", "StockCode", exact_mean("_price", "unidades").alias("precio_promedio"), "unidades"
     )
-    return top_n(prices, limit, "unidades", "Region", "StockCode")
+    order = ("unidades", "Region", "StockCode")
+    return descending(prices, *order) if limit is None else top_n(prices, limit, *order)
 
 
 def sku_by_region(retail: Model, regions: Regions = REGIONS) -> DataFrame:

@@ -65,12 +65,6 @@ def invoice_sums() -> list[Column]:
     return [F.sum(line_total()).alias("total"), F.count(F.lit(1)).alias("n_lines")]
 
 
-def lines_disagree() -> Column:
-    """Whether the lines of an invoice differ in date, customer or country."""
-    said = F.struct(*INVOICE_COLUMNS)
-    return (~F.min(said).eqNullSafe(F.max(said))).alias("mixed")
-
-
 def repair_lines(lines: DataFrame, repairs: DataFrame) -> DataFrame:
     """Lines whose invoice is among ``repairs`` take its attributes, the others keep their own."""
     names = {c: f"_{c}" for c in INVOICE_COLUMNS}
@@ -143,8 +137,9 @@ class Retail:
             df.write.parquet(f"{folder}/{name}")
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        sums = [*invoice_sums(), lines_disagree()]
-        facts = first_by_key(self.lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, sums)
+        facts = first_by_key(
+            self.lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, invoice_sums(), mixed="mixed"
+        )
         facts = written(facts, "facts")
         repairs = facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS)
         repairs = written(repairs, "repairs")

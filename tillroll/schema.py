@@ -74,10 +74,8 @@ MAP_NAMES = {
     "Hong Kong": "China",
 }
 
-# The products whose prices are compared between regions, and the
-# number of rows of that report.
+# The products whose prices are compared between regions.
 PRICE_SKUS = ("85123A", "85099B", "22423")
-PRICE_ROWS = 22
 
 
 def in_file_order(lines: DataFrame) -> bool:
