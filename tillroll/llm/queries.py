@@ -40,6 +40,5 @@ QUERIES = {
 ORACLE = {
     "op5_line_dedup": oracle.LINE_DEDUP,
     "op6_decontamination": oracle.DECONTAMINATION,
-    "op7_training_order": lambda s, d: materialise(_documents(s, d)),
     "op8_near_dedup": oracle.NEAR_DEDUP,
 }

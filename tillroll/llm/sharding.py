@@ -63,7 +63,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLE
         rows.groupBy("h1", "h2").agg(F.sum("size").alias("load"), F.count("*").alias("n")), "groups"
     )
     whole, count = groups.agg(F.sum("load"), F.sum("n")).first()
-    large = F.col("load") * bundles >= F.lit(whole or 0)
+    large = F.col("load") >= F.lit(-(-(whole or 0) // bundles))
     bundle = F.pmod("h1", F.lit(bundles))
     name = F.struct(
         F.when(large, F.col("h1")).otherwise(bundle).alias("a"), F.when(large, F.col("h2")).alias("b")
