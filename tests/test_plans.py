@@ -65,6 +65,25 @@ def test_no_python_no_cross_join_no_global_window(model, analysis):
         assert node not in plan
 
 
+WIDER = {
+    "clean": lambda m, spark: m.clean(),
+    "dense histogram": lambda m, spark: a.hist_lines_region(m, dense=True),
+    "share": lambda m, spark: share_of_total(sum_by(m.lines, "StockCode", line_total(), "total"), "total"),
+    "total sales": lambda m, spark: maps.map_total_sales(m, outlines(spark)),
+    "ticket": lambda m, spark: maps.map_avg_ticket(m, outlines(spark)),
+    "customers": lambda m, spark: maps.map_customers(m, outlines(spark)),
+    "products": lambda m, spark: maps.map_products(m, outlines(spark)),
+}
+
+
+@pytest.mark.parametrize("name", WIDER)
+def test_no_python_no_pairs_no_window_over_all(model, spark, name):
+    plan = WIDER[name](model, spark)._jdf.queryExecution().executedPlan().toString()
+    for node in ("EvalPython", "ArrowEval", "MapInPandas", "MapInArrow", "CartesianProduct"):
+        assert node not in plan
+    assert "Exchange SinglePartition" not in plan or "Window" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(model, spark):
     plan = model.facts("Country")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(Quantity,0)" in plan and "GreaterThan(UnitPrice,0.000)" in plan

@@ -181,6 +181,74 @@ def test_parquet_must_match_the_schema(spark, tmp_path):
         read_retail(spark, path, "xlsx")
 
 
+def other_types(spark):
+    other = {"Quantity": "bigint", "UnitPrice": "double", "CustomerID": "double"}
+    rows_ = [("1", "s", "d", 3, D1, 2.55, 17850.0, "UK"), ("2", "s", None, None, None, None, None, None)]
+    kinds = [f"{f.name} {other.get(f.name, f.dataType.simpleString())}" for f in RETAIL_SCHEMA]
+    return spark.createDataFrame(rows_, ", ".join(kinds))
+
+
+def test_conversion_on_request(spark, tmp_path):
+    path = str(tmp_path / "t")
+    other_types(spark).write.parquet(path)
+    with pytest.raises(ValueError, match="Quantity: expected int, found bigint"):
+        read_retail(spark, path)
+    lines = read_retail(spark, path, convert=True).drop(ROW_ORDER)
+    assert [f.dataType for f in lines.schema] == [f.dataType for f in RETAIL_SCHEMA]
+    assert sorted(rows(lines)) == [
+        ("1", "s", "d", 3, D1, Decimal("2.550"), "17850", "UK"),
+        ("2", "s", None, None, None, None, None, None),
+    ]
+
+
+@pytest.mark.parametrize(
+    "column, value",
+    [("Quantity", "3000000000L"), ("UnitPrice", "2.5555D"), ("UnitPrice", "1e12D"), ("UnitPrice", "double('NaN')"), ("CustomerID", "17850.5D")],
+)
+def test_inexact_values_are_not_converted(spark, tmp_path, column, value):
+    path = str(tmp_path / "t")
+    other_types(spark).withColumn(column, F.expr(value)).write.parquet(path)
+    with pytest.raises(Exception, match=f"{column} can't be"):
+        read_retail(spark, path, convert=True).collect()
+
+
+def test_a_string_is_not_converted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    other_types(spark).withColumn("UnitPrice", F.lit("2.5")).write.parquet(path)
+    with pytest.raises(ValueError, match="UnitPrice: expected decimal.*found string"):
+        read_retail(spark, path, convert=True)
+
+
+@pytest.mark.parametrize("country", ["UK", None])
+def test_gazetteer_holds_a_country_once(spark, tmp_path, country):
+    places = spark.createDataFrame([(country, 1.0, 2.0), (country, 3.0, 4.0), ("x", 1.0, 2.0)], "Country string, lon double, lat double")
+    places.write.parquet(str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="Country must be unique"):
+        read_gazetteer(spark, str(tmp_path / "g"))
+
+
+def test_stored_model_can_be_removed(spark, tmp_path):
+    folder = tmp_path / "model"
+    model = Retail(frame(spark, TINY)).store(str(folder))
+    (folder / "note").write_text("not the model's")
+    assert model.clean().count()
+    model.remove()
+    assert sorted(p.name for p in folder.iterdir()) == ["note"]
+    other = Retail(frame(spark, TINY)).store(str(tmp_path / "other"))
+    other.remove()
+    assert not (tmp_path / "other").exists()
+
+
+def test_a_cluster_refuses_local_folders(spark, tmp_path, monkeypatch):
+    from tillroll import session
+
+    monkeypatch.setattr(session, "is_local", lambda spark: False)
+    with pytest.raises(ValueError, match="local folder"):
+        session.require_reachable(spark, str(tmp_path))
+    below = f"{session.shared_folder(spark)}/model"
+    assert session.require_reachable(spark, below) == below
+
+
 def test_boundaries_and_gazetteer(spark, tmp_path):
     bounds = spark.createDataFrame([(1.0, 2.0, 1, 1, "UK", None)], BOUNDARY_SCHEMA)
     bounds.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "b"))

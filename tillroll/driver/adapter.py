@@ -7,12 +7,15 @@ disagree.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import recode
 from tillroll.plans.retail import Retail
 from tillroll.schema import RETAIL_SCHEMA, ROW_ORDER
+from tillroll.session import scratch_folder
 
 # NATION_24 is in no region.
 REGIONS = {
@@ -49,6 +52,10 @@ LINE_ORDER = (
 )
 
 
+# Eight lines of a thousand million orders times it stay within a BIGINT.
+LINE_STRIDE = 10**9
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,8 +64,9 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Invoice lines with a row order.
 
     ``columns`` limits the work to the attributes a query reads: tables that hold
-    none of them are not joined, and the other attributes that come from a joined
-    table are NULL. Each joined table is unique on its key, so the lines stay the same.
+    none of them are not joined, and what would come from those is left out, so
+    that a query that does read it fails. Each joined table is unique on its key, so
+    the lines stay the same.
     """
     wanted = set(columns) or set(RETAIL_SCHEMA.names)
     lines = table(spark, sf_dir, "lineitem")
@@ -89,9 +97,8 @@ def retail_raw(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         lines = lines.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         derived["Country"] = F.col("n_name")
-    null = F.lit(None)
     return lines.select(
-        *[derived.get(f.name, null).cast(f.dataType).alias(f.name) for f in RETAIL_SCHEMA],
+        *[derived[f.name].cast(f.dataType).alias(f.name) for f in RETAIL_SCHEMA if f.name in derived],
         F.struct(*LINE_ORDER).alias(ROW_ORDER),
     )
 
@@ -100,6 +107,25 @@ def retail(spark: SparkSession, sf_dir: str, *columns: str) -> Retail:
     return Retail(retail_raw(spark, sf_dir, *columns))
 
 
+def written(df: DataFrame, fmt: str = "parquet") -> str:
+    """The path of a copy of ``df`` below the shared folder, for a reader to read."""
+    path = f"{scratch_folder(df.sparkSession)}/{fmt}-{uuid.uuid4().hex}"
+    df.write.option("header", True).format(fmt).save(path)
+    return path
+
+
+def numbered_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice lines whose first column, ``line_no``, is a number of their own.
+
+    Lines come by order and line; lines of one number there are told apart by part,
+    supplier and price.
+    """
+    raw = retail_raw(spark, sf_dir)
+    within = "l_partkey * 1000003 + l_suppkey * 7919 + cast(rint(l_extendedprice * 100) AS BIGINT)"
+    number = F.expr(f"(l_orderkey * 8 + l_linenumber) * {LINE_STRIDE} + ({within}) % {LINE_STRIDE}")
+    return raw.select(f"{ROW_ORDER}.*", *RETAIL_SCHEMA.names).select(number.alias("line_no"), *RETAIL_SCHEMA.names)
+
+
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A square per supplier under the map name of its nation; some names missing, some unknown."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

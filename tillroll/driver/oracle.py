@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tillroll.driver.adapter import (
     LINE_ORDER,
+    LINE_STRIDE,
     MAP_NAMES,
     NO_COORDINATE,
     NO_OUTLINE,
@@ -54,20 +55,20 @@ raw_lost AS (
 )"""
 
 
-def _relations(raw: str = "raw") -> str:
+def _relations(raw: str = "raw", order: str = ORDER) -> str:
     return f"""
 valid AS (
   SELECT * REPLACE (upper(StockCode) AS StockCode) FROM {raw} WHERE Quantity > 0 AND UnitPrice > 0
 ),
 invoices AS (
   SELECT InvoiceNo, InvoiceDate, CustomerID, Country
-  FROM (SELECT *, row_number() OVER (PARTITION BY InvoiceNo ORDER BY {ORDER}) AS rn FROM valid)
+  FROM (SELECT *, row_number() OVER (PARTITION BY InvoiceNo ORDER BY {order}) AS rn FROM valid)
   WHERE rn = 1
 ),
 lines AS (SELECT StockCode, Quantity, UnitPrice, InvoiceNo FROM valid),
 products AS (
   SELECT StockCode, Description
-  FROM (SELECT *, row_number() OVER (PARTITION BY StockCode ORDER BY {ORDER}) AS rn FROM valid)
+  FROM (SELECT *, row_number() OVER (PARTITION BY StockCode ORDER BY {order}) AS rn FROM valid)
   WHERE rn = 1
 ),
 clean AS (
@@ -111,19 +112,22 @@ geo_products AS (
 )"""
 
 
-def _sql(select: str, raw_only: bool = False, geography: bool = False) -> str:
-    parts = [RAW] if raw_only else [RAW, _relations()]
+def _sql(select: str, raw_only: bool = False, geography: bool = False, order: str = ORDER) -> str:
+    parts = [RAW] if raw_only else [RAW, _relations(order=order)]
     if geography:
         parts.append(GEOGRAPHY)
     return "WITH " + ",".join(parts) + "\n" + select.strip()
 
 
-def _sales(key: str) -> str:
-    return _sql(f"""
+def _sales(key: str, order: str = ORDER) -> str:
+    return _sql(
+        f"""
 SELECT {key}, CAST(total AS DOUBLE) AS total_invoice,
        CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE) AS porcentage
 FROM (SELECT {key}, sum(Total) AS total FROM clean GROUP BY {key})
-ORDER BY total_invoice DESC NULLS LAST, {key} NULLS LAST""")
+ORDER BY total_invoice DESC NULLS LAST, {key} NULLS LAST""",
+        order=order,
+    )
 
 
 def _histogram(table: str, category: str, dense: bool = False) -> str:
@@ -177,11 +181,18 @@ FROM {measure} m LEFT JOIN gazetteer g ON m.Country = g.Country""",
     )
 
 
+# The number of a line in input that numbers its lines.
+LINE_NO = f"""(l_orderkey * 8 + l_linenumber) * {LINE_STRIDE} + (l_partkey * 1000003 + l_suppkey * 7919
+    + CAST(round(l_extendedprice * 100) AS BIGINT)) % {LINE_STRIDE}"""
 WIDE = "InvoiceNo, StockCode, Description, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CustomerID, Country"
 LINE = "StockCode, Quantity, CAST(UnitPrice AS DOUBLE) AS UnitPrice, lines.InvoiceNo"
+CLEAN = f"SELECT {LINE.replace('lines.', '')}, InvoiceDate, CustomerID, Country, Description FROM clean"
 JOIN_INVOICES = f"""
 SELECT {LINE}, InvoiceDate, CustomerID, Country
 FROM lines LEFT JOIN invoices ON lines.InvoiceNo IS NOT DISTINCT FROM invoices.InvoiceNo"""
+SKU_BY_COUNTRY = """
+SELECT Country, count(*) AS n FROM (SELECT DISTINCT Country, StockCode FROM clean)
+GROUP BY Country ORDER BY n DESC, Country NULLS LAST"""
 PURCHASES = """
 SELECT CustomerID, count(*) AS n FROM invoices WHERE CustomerID IS NOT NULL
 GROUP BY CustomerID ORDER BY n DESC, CustomerID"""
@@ -205,9 +216,7 @@ ORDER BY unidades DESC, Region NULLS LAST, StockCode"""),
     "sku_by_region": _sql("""
 SELECT Region, count(*) AS n FROM (SELECT DISTINCT Region, StockCode FROM clean)
 GROUP BY Region ORDER BY n DESC, Region NULLS LAST"""),
-    "sku_by_country": _sql("""
-SELECT Country, count(*) AS n FROM (SELECT DISTINCT Country, StockCode FROM clean)
-GROUP BY Country ORDER BY n DESC, Country NULLS LAST"""),
+    "sku_by_country": _sql(SKU_BY_COUNTRY),
     "geo_sales": _sql("SELECT * FROM geo_sales ORDER BY total_invoice DESC, Country", geography=True),
     "avg_ticket_by_country": _sql(
         "SELECT * FROM geo_ticket ORDER BY venta_promedio DESC, Country", geography=True
@@ -278,10 +287,20 @@ FROM lines NATURAL LEFT JOIN invoices"""),
     "distinct_multi": _sql("SELECT DISTINCT InvoiceNo, InvoiceDate, CustomerID, Country FROM valid"),
     "normalize_invoices": _sql("SELECT * FROM invoices"),
     "normalize_products": _sql("SELECT * FROM products"),
-    "clean_retail": _sql(
-        f"SELECT {LINE.replace('lines.', '')}, InvoiceDate, CustomerID, Country, Description FROM clean"
-    ),
+    "clean_retail": _sql(CLEAN),
     "top_n_sku_region": _sql("""
 SELECT Region, StockCode, count(*) AS unidades FROM clean GROUP BY Region, StockCode
 ORDER BY unidades DESC, Region NULLS LAST, StockCode LIMIT 22"""),
 }
+
+# The readers, and the model written by store, give what the other way gives.
+ORACLE |= {
+    "scan_retail_csv": ORACLE["scan_retail"],
+    "scan_retail_converted": ORACLE["scan_retail"],
+    "export_country_sales_csv": ORACLE["export_country_sales"],
+    "clean_retail_numbered": _sql(CLEAN, order=LINE_NO),
+    "invoices_csv": _sql("SELECT * FROM invoices", order=LINE_NO),
+    "stored_clean": _sql(CLEAN, order=LINE_NO),
+    "stored_sales_by_country": _sales("Country", LINE_NO),
+    "stored_sku_by_country": _sql(SKU_BY_COUNTRY, order=LINE_NO),
+}

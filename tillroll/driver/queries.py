@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from tillroll.driver.adapter import (
     SKUS,
     boundaries,
     gazetteer,
+    numbered_raw,
     retail,
     retail_raw,
+    written,
 )
 from tillroll.functions.expressions import is_in, line_total, recode, round_half_even
 from tillroll.operators.aggregates import count_by, sum_by
@@ -24,9 +27,12 @@ from tillroll.operators.keyed import distinct_rows
 from tillroll.operators.ranking import descending, factor_code, share_of_total, top_n
 from tillroll.plans import analyses, maps
 from tillroll.plans.retail import Retail, upper_codes
-from tillroll.schema import INVOICE_COLUMNS, RETAIL_SCHEMA
-from tillroll.sources.export import country_sales_export
-from tillroll.sources.gazetteer import locate
+from tillroll.schema import INVOICE_COLUMNS, RETAIL_SCHEMA, ROW_ORDER
+from tillroll.session import scratch_folder
+from tillroll.sources.boundaries import read_boundaries
+from tillroll.sources.export import EXPORT_MEASURE, country_sales_export, write_country_sales
+from tillroll.sources.gazetteer import locate, read_gazetteer
+from tillroll.sources.retail import read_retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +54,25 @@ def _report(df: DataFrame) -> DataFrame:
 
 
 def scan_retail(spark, sf):
-    return _report(retail_raw(spark, sf).select(*RETAIL_SCHEMA.names))
+    """Written as Parquet and read back in the order of the files."""
+    path = written(retail_raw(spark, sf).drop(ROW_ORDER))
+    return _report(read_retail(spark, path).select(*RETAIL_SCHEMA.names))
+
+
+def _numbered(spark, sf, fmt="parquet"):
+    return read_retail(spark, written(numbered_raw(spark, sf), fmt), fmt, sequence="line_no")
+
+
+def scan_retail_csv(spark, sf):
+    return _report(_numbered(spark, sf, "csv").select(*RETAIL_SCHEMA.names))
+
+
+def scan_retail_converted(spark, sf):
+    """Prices written as doubles, quantities as BIGINT, invoice numbers as doubles."""
+    other = {"UnitPrice": "double", "Quantity": "bigint", "InvoiceNo": "double"}
+    raw = numbered_raw(spark, sf).withColumns({c: F.col(c).cast(t) for c, t in other.items()})
+    lines = read_retail(spark, written(raw), sequence="line_no", convert=True)
+    return _report(lines.select(*RETAIL_SCHEMA.names))
 
 
 def project_upper(spark, sf):
@@ -146,9 +170,28 @@ def clean_retail(spark, sf):
     return _report(retail(spark, sf).clean())
 
 
+def clean_retail_numbered(spark, sf):
+    """The cleaned table where the input numbers its lines."""
+    return _report(Retail(_numbered(spark, sf)).clean())
+
+
+def invoices_csv(spark, sf):
+    return Retail(_numbered(spark, sf, "csv")).invoices()
+
+
+def _stored(analysis) -> Query:
+    """An analysis of the model that ``store`` writes."""
+
+    def query(spark, sf):
+        model = Retail(_numbered(spark, sf))
+        return analysis(model.store(f"{scratch_folder(spark)}/retail-{uuid.uuid4().hex}"))
+
+    return query
+
+
 def geocode_join(spark, sf):
     sales = analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES)
-    located = locate(sales, gazetteer(spark, sf))
+    located = locate(sales, read_gazetteer(spark, written(gazetteer(spark, sf))))
     return located.select("Country", "total_invoice", "coord.lon", "coord.lat", "source")
 
 
@@ -179,8 +222,15 @@ def export_country_sales(spark, sf):
     return country_sales_export(analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES))
 
 
+def export_country_sales_csv(spark, sf):
+    """The written CSV, read back."""
+    path = f"{scratch_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_country_sales(analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES), path)
+    return spark.read.schema(f"Country string, `{EXPORT_MEASURE}` double").csv(path, header=True)
+
+
 def scan_boundaries(spark, sf):
-    return boundaries(spark, sf)
+    return read_boundaries(spark, written(boundaries(spark, sf)))
 
 
 # Analyses and maps: the attributes read, and the analysis of a model.
@@ -263,6 +313,14 @@ OPERATORS: dict[str, Query] = {
     "normalize_products": normalize_products,
     "clean_retail": clean_retail,
     "top_n_sku_region": top_n_sku_region,
+    "scan_retail_csv": scan_retail_csv,
+    "scan_retail_converted": scan_retail_converted,
+    "clean_retail_numbered": clean_retail_numbered,
+    "invoices_csv": invoices_csv,
+    "export_country_sales_csv": export_country_sales_csv,
+    "stored_clean": _stored(lambda model: _report(model.clean())),
+    "stored_sales_by_country": _stored(analyses.sales_by_country),
+    "stored_sku_by_country": _stored(analyses.sku_by_country),
 }
 
 QUERIES: dict[str, Query] = {n: _query(*a) for n, a in ANALYSES.items()} | OPERATORS

@@ -1,6 +1,6 @@
 """Equi-joins in which NULL keys match each other.
 
-The right side of the lookups must be unique on its key. No side is forced to be
+The right side of the lookups must be unique on its key (``require_unique``). No side is forced to be
 broadcast: Spark broadcasts a side whose size, estimated or measured by adaptive
 execution, is under the session's threshold, and sort-merges otherwise.
 
@@ -60,3 +60,11 @@ def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = True)
     if not shared:
         raise ValueError("the two sides share no column")
     return left_lookup(left, right, shared, null_safe)
+
+
+def require_unique(df: DataFrame, *key: str) -> DataFrame:
+    """``df``, after a check (a job) that no two rows agree on ``key``; NULL equals NULL."""
+    twice = df.groupBy(*key).count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"{', '.join(key)} must be unique; {tuple(twice)[:-1]} has {twice['count']} rows")
+    return df

@@ -24,11 +24,12 @@ from tillroll.functions.expressions import line_total
 from tillroll.operators.joins import inner_lookup, left_lookup
 from tillroll.operators.keyed import distinct_with_first, first_by_key
 from tillroll.schema import INVOICE_COLUMNS, ROW_ORDER, in_file_order
-from tillroll.session import shared_folder
+from tillroll.session import hadoop_path, require_reachable, shared_folder
 
 
 def upper_codes(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("StockCode", F.upper("StockCode"))
+    """``raw`` with product codes in capitals; lines read without them stay as they are."""
+    return raw.withColumn("StockCode", F.upper("StockCode")) if "StockCode" in raw.columns else raw
 
 
 def valid_lines(raw: DataFrame) -> DataFrame:
@@ -126,12 +127,13 @@ class Retail:
     def store(self, folder: str | None = None) -> StoredRetail:
         """Write the cleaned table and the invoice facts; return a model that reads them.
 
-        Without ``folder`` they go below the session's ``spark.checkpoint.dir``.
+        Without ``folder`` they go below the session's ``spark.checkpoint.dir``. On a cluster a
+        folder on a local disk is refused. ``StoredRetail.remove`` deletes the tables.
 
         Only invoices whose lines disagree need repair, in most tables a small part.
         """
         spark = self.lines.sparkSession
-        folder = folder or f"{shared_folder(spark)}/retail-{uuid.uuid4().hex}"
+        folder = require_reachable(spark, folder or f"{shared_folder(spark)}/retail-{uuid.uuid4().hex}")
 
         def written(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(f"{folder}/{name}")
@@ -152,6 +154,8 @@ class Retail:
 class StoredRetail:
     """The model read back from tables written by ``Retail.store``."""
 
+    TABLES = ("facts", "repairs", "products", "clean")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -178,5 +182,14 @@ class StoredRetail:
     def sku_lines(self) -> DataFrame:
         return self.clean().select("StockCode", "UnitPrice", "Country")
 
+    def remove(self) -> None:
+        """Delete the model's tables, and their folder if nothing else is in it."""
+        for name in self.TABLES:
+            files, path = hadoop_path(self.spark, f"{self.folder}/{name}")
+            files.delete(path, True)
+        files, path = hadoop_path(self.spark, self.folder)
+        if files.exists(path) and not files.listStatus(path):
+            files.delete(path, False)
+
 
 Model = Retail | StoredRetail

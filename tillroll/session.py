@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -28,3 +30,37 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("spark.checkpoint.dir is not set; pass the folder to write to")
     return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """``shared_folder``; on one machine that names none, a temporary folder becomes it."""
+    if is_local(spark) and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-"))
+    return shared_folder(spark)
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in this process (``local-cluster`` is a cluster)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def hadoop_path(spark: SparkSession, folder: str):
+    """The Hadoop file system of ``folder`` and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, files.makeQualified(path)
+
+
+def require_reachable(spark: SparkSession, folder: str) -> str:
+    """``folder``, unless it lies on the disk of one machine while tasks run on others.
+
+    What lies below ``spark.checkpoint.dir`` is shared by that setting's meaning.
+    """
+    if is_local(spark):
+        return folder
+    files, path = hadoop_path(spark, folder)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    shared = named and str(path).startswith(str(hadoop_path(spark, named)[1]).rstrip("/") + "/")
+    if files.getUri().getScheme() == "file" and not shared:
+        raise ValueError(f"{folder} is a local folder; executors on other machines would not share it")
+    return folder

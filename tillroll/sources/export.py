@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.ranking import descending
 
+# Fixed value: the header of the amounts in the export.
 EXPORT_MEASURE = "Ventas Totales"
 
 

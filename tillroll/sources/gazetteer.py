@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import left_lookup
+from tillroll.operators.joins import left_lookup, require_unique
 from tillroll.schema import GAZETTEER_SCHEMA, require_schema
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """Country, lon, lat; one row per country."""
-    return require_schema(spark.read.parquet(path), GAZETTEER_SCHEMA)
+    """Country, lon, lat; fails if a country comes twice, which would repeat what is looked up."""
+    return require_unique(require_schema(spark.read.parquet(path), GAZETTEER_SCHEMA), "Country")
 
 
 def locate(df: DataFrame, gazetteer: DataFrame, source: str = "gazetteer") -> DataFrame:

@@ -15,15 +15,22 @@ def read_retail(
     fmt: str = "parquet",
     sequence: str | None = None,
     timestamp_format: str | None = None,
+    convert: bool = False,
 ) -> DataFrame:
     """Invoice lines with a fixed schema and a ``row_order`` column.
 
     ``sequence`` names a BIGINT column of the input that numbers its lines. Without
     it the order is that of the files: by path, then by position in the file.
     Neither the number of splits nor a repeated task changes that order.
+
+    A Parquet column of another type is an error, unless ``convert`` asks for
+    ``exact_types``. (CSV is parsed to the schema.)
     """
     if fmt == "parquet":
         lines = spark.read.parquet(path)
+        if convert:
+            numbered = [T.StructField(sequence, T.LongType())] if sequence else []
+            lines = exact_types(lines, T.StructType([*RETAIL_SCHEMA, *numbered]))
         position = [F.col("_metadata.row_index")]
     elif fmt == "csv":
         schema = RETAIL_SCHEMA
@@ -45,3 +52,31 @@ def read_retail(
     position = [p.alias(f"at_{i}") for i, p in enumerate(position)]
     order = F.struct(F.col("_metadata.file_path").alias(FILE_PATH), *position)
     return lines.select(*RETAIL_SCHEMA.names, order.alias(ROW_ORDER))
+
+
+def exact_types(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema`` cast to its types where that loses nothing.
+
+    Between numbers, from whole numbers to strings (17850.0 becomes "17850"), and from dates and
+    zoned times (in the session's zone) to times without zone. A value the new type can't
+    hold fails the query that reads it. Other types stay, for ``require_schema`` to refuse.
+    """
+    found = {f.name: f.dataType for f in df.schema}
+    casts = {}
+    for field in schema:
+        have, want = found.get(field.name), field.dataType
+        value = F.col(field.name)
+        if have is None or have == want:
+            continue
+        if isinstance(have, T.NumericType) and isinstance(want, T.NumericType):
+            cast = value.try_cast(want)
+        elif isinstance(have, T.NumericType) and isinstance(want, T.StringType):
+            cast = value.try_cast("decimal(38,0)").cast("string")
+        elif isinstance(have, (T.DateType, T.TimestampType)) and isinstance(want, T.TimestampNTZType):
+            cast = value.cast(want)
+        else:
+            continue
+        message = F.concat(F.lit(f"{field.name} can't be {want.simpleString()}: "), value.cast("string"))
+        same = cast.try_cast(have).eqNullSafe(value)
+        casts[field.name] = F.when(same, cast).otherwise(F.raise_error(message).cast(want))
+    return df.withColumns(casts)
