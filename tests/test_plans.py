@@ -9,6 +9,9 @@ from data import TINY, frame, random_rows
 from pyspark.sql import functions as F
 
 from tillroll import Retail, StoredRetail, read_retail
+from tillroll.functions.expressions import line_total
+from tillroll.operators.aggregates import sum_by
+from tillroll.operators.ranking import share_of_total
 from tillroll.plans import analyses as a
 from tillroll.plans import maps
 from tillroll.plans.retail import repaired_table
@@ -76,12 +79,18 @@ WIDER = {
 }
 
 
+def test_the_window_pattern_finds_one(spark):
+    plan = spark.range(9).selectExpr("row_number() OVER (ORDER BY id) AS n")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Window \[.*\n\W*(Sort.*\n\W*)?Exchange SinglePartition", plan)
+
+
 @pytest.mark.parametrize("name", WIDER)
 def test_no_python_no_pairs_no_window_over_all(model, spark, name):
     plan = WIDER[name](model, spark)._jdf.queryExecution().executedPlan().toString()
     for node in ("EvalPython", "ArrowEval", "MapInPandas", "MapInArrow", "CartesianProduct"):
         assert node not in plan
-    assert "Exchange SinglePartition" not in plan or "Window" not in plan
+    # A window without keys stands on all rows in one partition.
+    assert not re.search(r"Window \[.*\n\W*(Sort.*\n\W*)?Exchange SinglePartition", plan)
 
 
 def test_filters_and_columns_reach_the_scan(model, spark):
