@@ -200,6 +200,23 @@ def test_secret_query(spark):
     assert secretscan.secret_query(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["hex", "base32", "base36"])
+def test_keys_of_small_alphabets(spark, name):
+    rng = random.Random(9)
+    english = Path(__file__).resolve().parents[2].joinpath("VERDICT.md").read_text()
+    prose = [w for w in re.findall(r"[A-Za-z,.]+", english) if len(w) < 20]
+    alphabet = dict(secretscan.ENCODINGS)[name]
+    table, lengths = [], [20, 24, 28, 31, 40, 64]
+    for i in range(240):
+        at = rng.randrange(len(prose) - 400)
+        near = prose[at : at + 400]
+        table.append((i, " ".join([*near[:200], key(rng, lengths[i % 6], alphabet), *near[200:]])))
+    found = {r.doc_id: r.spans for r in secretscan.secret_query(documents(spark, table)).collect()}
+    for k, n in enumerate(lengths):
+        hits = sum(found[i] != "" for i in range(k, 240, 6))
+        assert hits >= (20 if n < 24 else 34), (n, hits)
+
+
 def test_battery_under_its_null():
     rng = np.random.default_rng(1)
     for e, (_, alphabet) in enumerate(secretscan.ENCODINGS):

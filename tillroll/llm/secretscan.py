@@ -9,10 +9,13 @@ The battery adds spans of kind "random":
 2. Three tests ask whether the values look uniform and independent: chi-squared over equal
    cells of the alphabet (as many as the length allows), the number of runs above and below
    the middle, and the serial correlation of neighbours. Fisher's method combines them; a run
-   that fails the battery at ALPHA is not random.
+   that fails the battery at ALPHA is not random. Random strings score alike in any order of
+   the alphabet; values follow how common a character is in ordinary text, so that ordinary
+   text fills the low cells only.
 3. A short string fails rarely, random or not, so passing alone proves little. For each
-   candidate a decoy of the same length, the letters and digits around it in its document, is
-   tested under the same encoding. The decoys of a stratum (encoding and length) show how
+   candidate a decoy of the same length, the characters of the alphabet among the letters and
+   digits around it in its document (in the case of an alphabet of one case), is tested under
+   the same encoding. The decoys of a stratum (encoding and length) show how
    ordinary text scores there: mean and spread of the root of Fisher's statistic, pulled
    towards those of all decoys where a stratum has few. A candidate's p-value is the normal
    tail below its own score, and the Benjamini-Hochberg step over all candidates of the
@@ -72,12 +75,26 @@ ENCODINGS = [
     ("base64url", _UPPER + _LOWER + _DIGIT + "-_"),
     ("base66", _UPPER + _LOWER + _DIGIT + "+/-_"),
 ]
+# From common to rare in ordinary text.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+_MIXED, _CAPITALS = _COMMON + _DIGIT + "-_/+" + _COMMON.upper(), _COMMON.upper() + _DIGIT
 _VALUES = []
 for _, _alphabet in ENCODINGS:
     _table = np.full(256, -1, np.int64)
-    _table[np.frombuffer(_alphabet.encode(), np.uint8)] = np.arange(len(_alphabet))
+    _order = _CAPITALS if set(_alphabet) <= set(_CAPITALS) else _MIXED
+    _ranked = "".join(sorted(_alphabet, key=_order.index))
+    _table[np.frombuffer(_ranked.encode(), np.uint8)] = np.arange(len(_alphabet))
     _VALUES.append(_table)
 _SETS = [frozenset(a) for _, a in ENCODINGS]
+# What makes a decoy of the letters and digits near a run: other characters go.
+_TO_ALPHABET = []
+for _, _alphabet in ENCODINGS:
+    _kept = {ord(c): c for c in _LETTERS + _DIGIT if c in _alphabet}
+    if _kept.keys().isdisjoint(map(ord, _UPPER)):
+        _kept |= {ord(c.upper()): c for c in _LOWER if c in _alphabet}
+    if _kept.keys().isdisjoint(map(ord, _LOWER)):
+        _kept |= {ord(c.lower()): c for c in _UPPER if c in _alphabet}
+    _TO_ALPHABET.append({ord(c): _kept.get(ord(c)) for c in _LETTERS + _DIGIT})
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,18 +128,18 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     for m in _RUN.finditer(text):
         encoding = encoding_of(m.group())
         if encoding is not None:
-            out.append((m.start(), m.end(), encoding, decoy(text, m.start(), m.end())))
+            out.append((m.start(), m.end(), encoding, decoy(text, m.start(), m.end(), encoding)))
     return out
 
 
-def decoy(text: str, start: int, end: int) -> str:
-    """As many letters and digits as the run has, from the words before it, then after it."""
+def decoy(text: str, start: int, end: int, encoding: int) -> str:
+    """As many characters of the alphabet as the run has, from the words before it, then after it."""
     n = end - start
     near = ""
     for reach in (4 * n, 16 * n):
         words = [w for w in _WORDS_NEAR.findall(text[max(0, start - reach) : start]) if len(w) < MIN_LENGTH]
         words += [w for w in _WORDS_NEAR.findall(text[end : end + reach]) if len(w) < MIN_LENGTH]
-        near = "".join(words)
+        near = "".join(words).translate(_TO_ALPHABET[encoding])
         if len(near) >= n:
             break
     return near[:n] if len(near) >= n else ""
@@ -146,9 +163,7 @@ def battery(strings: list[str], encodings: list[int]) -> np.ndarray:
     start = stop - n
     who = np.repeat(np.arange(len(n)), n)
     data = np.frombuffer("".join(strings).encode("latin-1", "replace"), np.uint8)
-    # A decoy may leave the alphabet; such a character takes the place of its byte.
     value = np.stack(_VALUES)[np.asarray(encodings)[who], data]
-    value = np.where(value < 0, data % size[who], value)
     # Chi-squared over m equal cells, five or more expected in each; Wilson-Hilferty.
     m = np.clip(n // 5, 2, np.minimum(size, 16))
     cell = value * m[who] // size[who]
