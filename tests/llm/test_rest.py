@@ -217,6 +217,31 @@ def test_keys_of_small_alphabets(spark, name):
         assert hits >= (20 if n < 24 else 34), (n, hits)
 
 
+def test_keys_glued_to_words(spark):
+    rng = random.Random(10)
+    english = Path(__file__).resolve().parents[2].joinpath("VERDICT.md").read_text()
+    prose = [w for w in re.findall(r"[A-Za-z,.]+", english) if len(w) < 20]
+    alnum, letters, glued = secretscan.ENCODINGS[5][1], secretscan._LETTERS, []
+    for i in range(160):
+        prefix, alphabet = [("github_pat_", alnum), ("com/services/", alnum), ("my/own/path/", letters), ("", letters)][i % 4]
+        glued.append((prefix, key(rng, 40, alphabet)))
+    plain = ["/usr/local/share/python3/site-packages", "MAX_BUFFER_SIZE_BYTES_2", "theQuickBrownFoxJumpsOverTheLazyDog",
+             "internationalisation-and-localisation", "-" * 30, "0" * 24, "counterrevolutionaries"]
+    table = []
+    for i in range(200):
+        at = rng.randrange(len(prose) - 400)
+        near = prose[at : at + 400]
+        word = "".join(glued[i]) if i < 160 else plain[i % len(plain)]
+        table.append((i, " ".join([*near[:200], word, *near[200:]])))
+    found = {r.doc_id: r.spans for r in secretscan.secret_query(documents(spark, table)).collect()}
+    for k in range(4):
+        assert sum(found[i] != "" for i in range(k, 160, 4)) >= 34, k
+    assert all(found[i] == "" for i in range(160, 200))
+    assert secretscan.pieces("github_pat_" + alnum[:30]) == [(11, 41)]
+    assert secretscan.pieces("my/own_" + alnum[:20] + "-tail") == [(7, 27)]
+    assert secretscan.pieces("Key/" + "x" * 19 + "1-") == [(4, 25)]
+
+
 def test_battery_under_its_null():
     rng = np.random.default_rng(1)
     for e, (_, alphabet) in enumerate(secretscan.ENCODINGS):

@@ -3,9 +3,10 @@
 Base spans come from three patterns (assigned values, access keys, long hex strings).
 The battery adds spans of kind "random":
 
-1. Candidates are runs of 20 or more of ``A-Z a-z 0-9 + / _ -`` with a letter and a digit,
-   unless punctuation cuts them into several plain words. The smallest of a few alphabets that holds a run is its
-   inferred encoding (hex, base 32, base 36, base 62, base 64); characters become values.
+1. Candidates are runs of 20 or more of ``A-Z a-z 0-9 + / _ -``. Where punctuation sets off
+   plain words, the run is cut at them and its pieces of that length are candidates; a run
+   without such a piece is one as a whole if it has a single plain word at most. The smallest of a few alphabets that holds a candidate is its
+   inferred encoding (decimal, hex, base 32, base 36, base 62, base 64); characters become values.
 2. Three tests ask whether the values look uniform and independent: chi-squared over equal
    cells of the alphabet (as many as the length allows), the number of runs above and below
    the middle, and the serial correlation of neighbours. Fisher's method combines them; a run
@@ -74,6 +75,7 @@ ENCODINGS = [
     ("base64", _UPPER + _LOWER + _DIGIT + "+/"),
     ("base64url", _UPPER + _LOWER + _DIGIT + "-_"),
     ("base66", _UPPER + _LOWER + _DIGIT + "+/-_"),
+    ("decimal", _DIGIT),
 ]
 # From common to rare in ordinary text.
 _COMMON = "etaoinsrhldcumfpgwybvkxjqz"
@@ -85,7 +87,8 @@ for _, _alphabet in ENCODINGS:
     _ranked = "".join(sorted(_alphabet, key=_order.index))
     _table[np.frombuffer(_ranked.encode(), np.uint8)] = np.arange(len(_alphabet))
     _VALUES.append(_table)
-_SETS = [frozenset(a) for _, a in ENCODINGS]
+# Smallest first.
+_SETS = sorted(((i, frozenset(a)) for i, (_, a) in enumerate(ENCODINGS)), key=lambda s: len(s[1]))
 # What makes a decoy of the letters and digits near a run: other characters go.
 _TO_ALPHABET = []
 for _, _alphabet in ENCODINGS:
@@ -111,24 +114,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def encoding_of(run: str) -> int | None:
-    """Index of the smallest alphabet that holds the run; None if it is no candidate."""
+def encoding_of(run: str) -> int:
+    """Index of the smallest alphabet that holds the run."""
     used = set(run)
-    if used.isdisjoint(_DIGIT) or used.isdisjoint(_LETTERS):
-        return None
-    plain = (len(p) > 2 and (p.islower() or p.isupper() or p.istitle()) for p in _PARTS.findall(run))
-    if not used.isdisjoint("+/_-") and sum(plain) > 1:
-        return None
-    return next((i for i, s in enumerate(_SETS) if used <= s), None)
+    return next(i for i, s in _SETS if used <= s)
+
+
+def pieces(run: str) -> list[tuple[int, int]]:
+    """What is to be tested of a run: the pieces between plain words; the whole, if there is
+    none and at most one word."""
+    out, words, last = [], [], 0
+    if not set(run).isdisjoint("+/_-"):
+        words = [
+            m.span()
+            for m in _PARTS.finditer(run)
+            if 2 < len(m.group()) < MIN_LENGTH and (m.group().islower() or m.group().isupper() or m.group().istitle())
+        ]
+        for a, b in [*words, (len(run) + 1, 0)] if words else ():
+            # The punctuation beside a word goes with it.
+            if a - 1 - last >= MIN_LENGTH:
+                out.append((last, a - 1))
+            last = b + 1
+    return out or ([(0, len(run))] if len(words) < 2 else [])
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, encoding, decoy) of the runs to be tested."""
     out = []
     for m in _RUN.finditer(text):
-        encoding = encoding_of(m.group())
-        if encoding is not None:
-            out.append((m.start(), m.end(), encoding, decoy(text, m.start(), m.end(), encoding)))
+        for a, b in pieces(m.group()):
+            start, end = m.start() + a, m.start() + b
+            encoding = encoding_of(text[start:end])
+            out.append((start, end, encoding, decoy(text, start, end, encoding)))
     return out
 
 
