@@ -271,6 +271,35 @@ def test_main_text():
     assert main_text("just text") == "just text"
 
 
+LONG = "A paragraph of the text that is long enough to weigh more than a surge needs, by a few words. " * 2
+
+
+def test_main_text_without_an_article():
+    long = LONG.strip()
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(5)) + "</ul>"
+    inner = f"<div><h1>T</h1><p>By X</p><p>{LONG}</p></div></div><div><div><p>Short.</p></div></div><div><div><p>{LONG}</p><ul><li>one</li><li>two</li></ul></div><p>The end.</p></div>"
+    want = f"T By X {long} Short. {long} one two The end."
+    assert main_text(f"<body><div>{menu}</div><div>{inner}<div>{menu}</div><footer>&copy; me</footer></body>") == want
+    table = f"<table><tr><td>{menu}</td><td><h2>T</h2><p>{LONG}</p><table><tr><td><p>1</p></td></tr><tr><td><p>2</p></td></tr></table><p>End</p></td></tr></table>"
+    assert main_text(f"<body>{table}</body>") == f"T {long} 1 2 End"
+    gap = f"<div><h1>T</h1>{menu}<p>{LONG}</p>{menu}<p>Last.</p></div><div>{menu}</div><div>me</div>"
+    assert main_text(f"<body>{gap}</body>") == f"T {long} Last."
+    assert main_text(f"<body><p>{LONG}</p>{menu}<p>Mid</p>{menu}<p>{LONG}</p>{menu}<p>me</p></body>") == f"{long} Mid {long}"
+
+
+def test_main_text_marks():
+    menu = "<p>Welcome</p>" + "<div>x</div>" * 3
+    for box in ("div role=main", "div id='content'", "section id=main-content", "div role='article'"):
+        page = f"<body><div>{menu}</div><{box}><h1>T</h1><p>Short.</p></{box.split()[0]}></body>"
+        assert main_text(page) == "T Short.", box
+    page = f"""<article><h1 class="page-header">T</h1><div class="entry-header"><p>By X</p></div><div class="notice">Mind this.</div>
+      <div class="related"><ul><li><a href=/>Other</a></li></ul></div><div class="cookie">We use them.</div><p>{LONG}</p></article>"""
+    assert main_text(page) == f"T By X Mind this. {LONG.strip()}"
+    assert main_text(f"<div>{LONG}</div><div class='notice'>Mind this.</div>") == LONG.strip()
+    assert main_text(f"<div><h1 class=header>T</h1><p>{LONG}</p></div>") == f"T {LONG.strip()}"
+    assert main_text(f"<div>Before</div><h1>T</h1><article><p>a</p></article><div>After</div>") == "T a"
+
+
 def test_surge_and_dive():
     assert main_lines([0, 5, 0, 0, 0, 90, 0, 3, 0, 0, 0, 2]) == [False] * 3 + [False] * 2 + [True] * 3 + [False] * 4
     assert main_lines([]) == [] and main_lines([0, 0]) == [False, False]

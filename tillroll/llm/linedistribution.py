@@ -1,17 +1,25 @@
 """Main text of HTML pages by the distribution of line blocks.
 
 1. Markup is stripped: each block element starts a line, and a line holds the text between,
-   character references decoded and white space made single. Scripts, styles, comments and the
+   character references decoded and white space made single; tags without text between them make
+   no line. Scripts, styles, comments and the
    like have no text. Lines of parts that say what they are (navigation, page header and footer,
    asides, forms, adverts, notices, reader comments, by element, role, class or id) count
-   as empty lines, as do lines made mostly of links outside an article.
+   as empty lines, as do lines made mostly of links outside an article. On headings and inside an
+   article, words in a class or id that have other uses (UNSURE) count only for lines made mostly of links.
 2. A line block at i is the lines i to i + WINDOW - 1; its weight is the sum of their text
-   lengths. Lines inside an article or main element weigh BONUS more, so that short
-   paragraphs and titles of an article are not lost between long ones.
+   lengths. Lines inside an article (an article or main element, the role of one, or an id in
+   MAIN_IDS) weigh BONUS more, so that short
+   paragraphs and titles of an article are not lost between long ones. WINDOW empty lines stand
+   at the edges of an article, in front of a heading right before it.
 3. A surge is a line that has text where the weight of its block is over SURGE (for pages whose blocks are
    all lighter, over half of the heaviest); a dive is where the weight falls to zero. The
    text between surges and dives is the main text, without the empty lines. The start of a
    surge is moved back over the lines just before it that have text.
+4. Gaps are bridged: text in the same container (division, section, cell and the like) as main
+   text is main text; what stands in no container is if it lies between such main text.
+
+So text that nothing marks as beside the page, next to main text, is taken for main text.
 
 Cases: a NULL or empty page, or one without text, has the empty text; markup cut off at the
 end, unclosed and unmatched tags are read as far as they go; pages are read alone, so
@@ -58,6 +66,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # Elements that are never main text; "header" and "footer" too, outside or inside an article.
 ASIDE = set("nav aside footer header form button select menu dialog fieldset label legend object canvas video audio".split())
 MAIN = {"article", "main"}
+MAIN_IDS = set(
+    "content main maincontent main-content main_content article article-body articlebody article-content post"
+    " post-content entry-content story story-body page-content bodycontent mw-content-text".split()
+)
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Blocks that are no container of their own.
+WITHIN = HEADINGS | set(
+    "html body head address blockquote caption dd details dl dt figcaption figure li ol option p pre summary table"
+    " tbody tfoot thead tr ul".split()
+)
 # Words in a class or id that name such parts, and roles that do.
 ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation"
@@ -65,6 +83,11 @@ ASIDE_NAMES = set(
     " popup modal newsletter subscribe signup login comment comments reply replies respond disqus share sharing"
     " social related recommended widget toolbar pagination pager".split()
 )
+# Those that also name parts of the text itself.
+UNSURE = set(
+    "promo banner nav navbar navigation menu sidebar aside breadcrumb breadcrumbs footer header masthead notice popup"
+    " modal comment reply replies share sharing social related recommended widget toolbar pagination pager".split()
+)
 # Those that an article or main element may be itself.
 ASIDE_ARTICLES = set("ad ads advert sponsored promo comment comments reply replies related".split())
 # In front of such a word these say that the part only stands beside one.
@@ -72,43 +95,63 @@ BESIDE = {"has", "with", "no", "without", "not"}
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is an aside, is one where it is mostly links, and is an article."""
     if tag in ASIDE:
-        return True
+        return True, False, False
+    main = tag in MAIN
     if not attributes or tag in ("html", "body"):
-        return False
-    names = ASIDE_ARTICLES if tag in MAIN else ASIDE_NAMES
+        return False, False, main
+    names = ASIDE_ARTICLES if main else ASIDE_NAMES
+    found: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in ASIDE_ROLES:
-                return True
-        elif any(
-            not names.isdisjoint(words)
-            for words in map(_NAME.findall, value.split())
-            if BESIDE.isdisjoint(words)
-        ):
-            return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, weight) of the page's lines; the weight is 0 for lines that don't count."""
-    lines: list[tuple[str, int]] = []
+                return True, False, False
+            main |= value in MAIN
+            continue
+        if m[1].lower() == "id":
+            main |= value in MAIN_IDS and tag in BLOCKS and tag not in HEADINGS
+        for words in map(_NAME.findall, value.split()):
+            if BESIDE.isdisjoint(words):
+                found |= names.intersection(words)
+    if tag in MAIN or not found:
+        return bool(found), False, main and not found
+    if tag in HEADINGS or (inside and found <= UNSURE):
+        return False, True, main
+    return True, False, False
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, container) of the page's lines; the weight is 0 for lines that don't count."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether they are asides
-    aside = mains = links = linked = 0
+    # Open elements: name, aside, aside where mostly links, article, container.
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    aside = unsure = mains = links = linked = boxes = 0
+    headings, edge, before = 0, -1, False  # the place of the line before the next, if a heading
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, edge, before
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
-        if aside or (not mains and linked > LINKED * len(text)):
-            lines.append(("", 0))
-        else:
-            lines.append((text, len(text) + BONUS * (mains > 0) if text else 0))
         parts.clear()
+        links_only = linked > LINKED * len(text)
         linked = 0
+        if not text:
+            return
+        if aside or (links_only and (unsure or not mains)):
+            lines.append(("", 0, 0))
+            edge = -1
+            return
+        if bool(mains) != before and lines:
+            place = edge if mains and edge >= 0 else len(lines)
+            lines[place:place] = [("", 0, 0)] * WINDOW
+        before = bool(mains)
+        edge = len(lines) if headings else -1
+        box = stack[-1][4] if stack else 0
+        lines.append((text, len(text) + BONUS * (mains > 0), box))
 
     while at < end:
         m = _MARKUP.search(page, at)
@@ -131,25 +174,36 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag == "a":
             links = 0 if closing else 1
             continue
-        named = not closing and tag not in VOID and _is_aside(tag, attributes)
-        if tag not in BLOCKS and not named and not any(t == tag for t, _ in stack if closing):
+        named = weak = main = False
+        if not closing and tag not in VOID:
+            named, weak, main = _marks(tag, attributes, mains > 0)
+        if tag not in BLOCKS and not named and not any(e[0] == tag for e in stack if closing):
             continue
         if tag in BLOCKS or named:
             flush()
         if tag in VOID or tag == "p":
             continue
         if not closing:
-            stack.append((tag, named))
+            if tag in WITHIN or tag not in BLOCKS:
+                box = stack[-1][4] if stack else 0
+            else:
+                boxes += 1
+                box = boxes
+            stack.append((tag, named, weak, main, box))
             aside += named
-            mains += tag in MAIN
+            unsure += weak
+            mains += main
+            headings += tag in HEADINGS
             continue
-        if any(t == tag for t, _ in stack):
+        if any(e[0] == tag for e in stack):
             if tag not in BLOCKS:
                 flush()
             while True:
-                top, was = stack.pop()
+                top, was, less, article, _ = stack.pop()
                 aside -= was
-                mains -= top in MAIN
+                unsure -= less
+                mains -= article
+                headings -= top in HEADINGS
                 if top == tag:
                     break
     flush()
@@ -175,10 +229,20 @@ def main_lines(weights: list[int], window: int = WINDOW, surge: int = SURGE) ->
     return out
 
 
+def bridged(lines: list[tuple[str, int, int]], chosen: list[bool]) -> list[bool]:
+    """``chosen`` with the text in containers of chosen lines, and without a container between them."""
+    of_main = {box for (_, weight, box), ok in zip(lines, chosen) if ok and weight and box}
+    free = [i for i, (_, weight, box) in enumerate(lines) if chosen[i] and weight and not box]
+    return [
+        ok or (box in of_main if box else bool(free) and free[0] < i < free[-1])
+        for i, ((_, _, box), ok) in enumerate(zip(lines, chosen))
+    ]
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    chosen = main_lines([w for _, w in lines])
-    return " ".join(text for (text, weight), ok in zip(lines, chosen) if ok and weight)
+    chosen = bridged(lines, main_lines([weight for _, weight, _ in lines]))
+    return " ".join(text for (text, weight, _), ok in zip(lines, chosen) if ok and weight)
 
 
 def extract(pages: DataFrame) -> DataFrame:
