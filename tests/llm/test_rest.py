@@ -68,6 +68,27 @@ def test_language_cases(spark):
     assert langid.language_query(docs.limit(0)).count() == 0
 
 
+def test_language_of_long_documents(spark):
+    rng = random.Random(6)
+    pools = {"xx": [key(rng, 5, "aeioulmn") for _ in range(300)], "yy": [key(rng, 6, "öüäkrtsz") for _ in range(300)]}
+    draw = lambda lang, n: " ".join(rng.choices(pools[lang], k=n))
+    size, texts, langs = langid.SAMPLE_BYTES, [], []
+    for i in range(24):
+        langs.append(("xx", "yy")[i % 2])
+        texts.append(draw(langs[-1], 15_000 if i < 16 else 40))
+        if i >= 16:
+            langs[-1] = None
+    docs = documents(spark, texts, langs)
+    assert all(len(t.encode()) > size for t in texts[:16])
+    sample = langid.training_sample(docs).collect()
+    assert {r.lang for r in sample} == {"xx", "yy"}
+    assert all(size // 5 < len(r.text.encode()) <= size for r in sample)
+    assert all(part in "\n".join(texts) for r in sample for part in [r.text[:100], r.text[-100:]])
+    found = {r.doc_id: r.lang_pred for r in langid.language_query(docs).collect()}
+    assert all(found[i] == ("xx", "yy")[i % 2] for i in range(24))
+    assert langid.keep_identified(docs).count() == 24
+
+
 # --- packing
 
 ODD = ["", "  ", "it's<|endoftext|> x", "a b  c\n\t d", "Ｈello İstanbul ΑΣ ΑΣ. é ́x", "don't!!! 12 3a", "x\x1cy z w",

@@ -14,9 +14,10 @@ all languages. What is coded is the text's letters: A-Z is folded, and a run of
 characters is one space. The alphabet is the bytes of the sample; others share a symbol.
 
 The model is fitted on a bounded sample: of each language the SAMPLE_ROWS labelled
-documents of smallest hash among those of at most SAMPLE_BYTES. So its size is bounded for
-each language (contexts of the highest order need MIN_COUNT occurrences). All texts are
-scored, whole.
+documents of smallest hash; of a document over SAMPLE_BYTES an excerpt, CHUNKS pieces at
+places chosen by hash, one in each of as many equal parts. So its size is bounded for
+each language (contexts of the highest order need MIN_COUNT occurrences), and every language
+with a labelled text outside the held-out fold is learned. All texts are scored, whole.
 
 Cases: a NULL text, or one without a letter, is "und" with score 0; with no labelled
 document every text is; a NULL doc_id counts as the empty text in the fold; documents with a
@@ -39,6 +40,7 @@ ORDER = 3
 MIN_COUNT = 4
 SAMPLE_ROWS = 300
 SAMPLE_BYTES = 1 << 16
+CHUNKS = 4
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
 # For keep_identified: below it several languages are about as likely.
@@ -53,14 +55,24 @@ def held_out() -> Column:
     return F.crc32(name.cast("binary")) % FOLDS == HELD_OUT
 
 
+def excerpt(text: Column, size: int) -> Column:
+    """``text``, or CHUNKS pieces of it that hold at most ``size`` bytes together."""
+    width = max(size // (4 * CHUNKS) - 1, 1)  # characters, of up to four bytes
+    part = F.floor(F.length(text) / CHUNKS).cast("int")
+    places = [
+        F.lit(1) + part * k + F.pmod(F.xxhash64(text, F.lit(k)), F.greatest(part - width, F.lit(0)) + 1).cast("int")
+        for k in range(CHUNKS)
+    ]
+    pieces = F.concat_ws(" ", *[F.substring(text, at, width) for at in places])
+    return F.when(F.octet_length(text) <= size, text).otherwise(pieces)
+
+
 def training_sample(
     docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
 ) -> DataFrame:
-    """(lang, text) of at most ``rows`` documents for each language, in a reproducible choice."""
-    known = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
-        & (F.octet_length("text") <= size)
-    )
+    """(lang, text) of at most ``rows`` documents for each language, in a reproducible choice;
+    texts of at most ``size`` bytes, longer ones as excerpts."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy("mark", "doc_id")
     chosen = (
         known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(9)).alias("mark"))
@@ -71,7 +83,8 @@ def training_sample(
     )
     same = known["doc_id"].eqNullSafe(chosen["doc_id"]) & (known["lang"] == chosen["lang"])
     # At most ``rows`` ids for each language.
-    return known.join(F.broadcast(chosen), same, "left_semi").select("lang", "text")
+    found = known.join(F.broadcast(chosen), same, "left_semi")
+    return found.select("lang", excerpt(F.col("text"), size).alias("text"))
 
 
 def fold(text: str) -> bytes:
