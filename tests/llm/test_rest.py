@@ -89,6 +89,14 @@ def test_language_of_long_documents(spark):
     assert langid.keep_identified(docs).count() == 24
 
 
+def test_language_sample_is_bounded_with_repeated_ids(spark):
+    table = [(None, f"text {i} of a source without ids") for i in range(400)]
+    table += [(1, f"text {i} under one id") for i in range(400)] + [(3, "the very same row")] * 400
+    sample = langid.training_sample(documents(spark, table), rows=20).collect()
+    assert len(sample) == 20 == len({r.text for r in sample})
+    assert sum(r.text == "the very same row" for r in langid.training_sample(documents(spark, table), rows=2000).collect()) == 1
+
+
 # --- packing
 
 ODD = ["", "  ", "it's<|endoftext|> x", "a b  c\n\t d", "Ｈello İstanbul ΑΣ ΑΣ. é ́x", "don't!!! 12 3a", "x\x1cy z w",

@@ -20,7 +20,8 @@ each language (contexts of the highest order need MIN_COUNT occurrences), and ev
 with a labelled text outside the held-out fold is learned. All texts are scored, whole.
 
 Cases: a NULL text, or one without a letter, is "und" with score 0; with no labelled
-document every text is; a NULL doc_id counts as the empty text in the fold; documents with a
+document every text is; a NULL doc_id counts as the empty text in the fold; rows equal in id, text and language
+are learned from once, rows that share only an id are chosen apart; documents with a
 NULL lang are scored, never learned from; equal code lengths go to the first language by
 name; repeated rows get equal results; further columns are not looked at.
 """
@@ -73,18 +74,19 @@ def training_sample(
     """(lang, text) of at most ``rows`` documents for each language, in a reproducible choice;
     texts of at most ``size`` bytes, longer ones as excerpts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    marked = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(9)).alias("mark"))
+    order = Window.partitionBy("lang").orderBy("mark")
     chosen = (
-        known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(9)).alias("mark"))
+        marked.select("lang", "mark")
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rows)
-        .select("lang", "doc_id")
-        .distinct()
+        .select("lang", "mark")
     )
-    same = known["doc_id"].eqNullSafe(chosen["doc_id"]) & (known["lang"] == chosen["lang"])
-    # At most ``rows`` ids for each language.
-    found = known.join(F.broadcast(chosen), same, "left_semi")
-    return found.select("lang", excerpt(F.col("text"), size).alias("text"))
+    # At most ``rows`` marks for each language; equal rows count once.
+    found = marked.join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
+    parts = found.select("lang", "mark", excerpt(F.col("text"), size).alias("text"))
+    return parts.groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fold(text: str) -> bytes:
