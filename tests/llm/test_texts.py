@@ -80,6 +80,20 @@ def test_line_dedup_brute(spark):
     assert rows(line_dedup_query(documents(spark, table))) == line_brute(table)
 
 
+def test_shards_follow_the_probes(spark, monkeypatch):
+    """Many lines of which few come back: no single shard is asked for all of them."""
+    import tillroll.llm.linededup as module
+
+    counts, count = [], module.shard_count
+    monkeypatch.setattr(module, "SHARD_PROBES", 50)
+    monkeypatch.setattr(module, "shard_count", lambda *a: counts.append((*a, count(*a))) or counts[-1][-1])
+    table = awkward() + [(100 + i, "\n".join(f"line {i} number {j} of its own" for j in range(20)) + "\na line that comes back") for i in range(100)]
+    assert rows(line_dedup_query(documents(spark, table))) == line_brute(table)
+    (keys, probes, shards), = counts
+    assert keys < 10 and probes >= 2100 and shards == probes // 50
+    assert line_dedup_query(documents(spark, []).limit(0)).count() == 0
+
+
 def test_line_dedup_hands_columns_through(spark):
     docs = documents(spark, awkward())
     out = dedup_lines(docs)

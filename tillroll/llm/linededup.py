@@ -7,7 +7,8 @@ the document of the smallest id.
 1. Each document sends the 128-bit hashes of its different keys; grouping them (summed
    up before the shuffle, so a line of every third document costs a row per task) gives
    owner (smallest id) and count of the keys of two documents or more.
-2. These hashes are cut into shards of about SHARD_KEYS. A shard is a minimal perfect
+2. These hashes are cut into shards of about SHARD_KEYS, and as many that a shard is asked
+   about SHARD_PROBES times at most. A shard is a minimal perfect
    hash (levels of bit arrays: keys alone on their bit stop there, the rest go on) that
    indexes three plain arrays: a 64-bit fingerprint, the count and the owner.
 3. Documents are dealt into buckets. A bucket sends each of its hashes once to the hash's
@@ -40,6 +41,7 @@ from tillroll.llm.words import mix
 
 MIN_CHARS = 10
 SHARD_KEYS = 100_000
+SHARD_PROBES = 200_000
 BUCKET_ROWS = 2_000
 GAMMA = 2.0
 NULL_ID = 2**63 - 1
@@ -194,11 +196,18 @@ def runs(names: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def shard_count(keys: int, probes: int) -> int:
+    """Shards for so many repeated keys, and lines to look up at most."""
+    return max(1, keys // SHARD_KEYS, probes // SHARD_PROBES)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text (the lines that stay, joined by \\n)."""
     results = ("n_lines", "n_dropped", "kept_text")
     keep = [c for c in docs.columns if c not in results]
-    buckets = max(1, docs.count() // BUCKET_ROWS)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(breaks + 1).alias("lines")).first()
+    buckets = max(1, size.rows // BUCKET_ROWS)
     ident = F.coalesce("doc_id", F.lit(NULL_ID))
     rows = docs.select(
         ident.alias("id"),
@@ -214,7 +223,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .drop("last"),
         "repeated-lines",
     )
-    shards = max(1, repeated.count() // SHARD_KEYS)
+    shards = shard_count(repeated.count(), size.lines or 0)
     shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
     arrays = (
         importable(repeated).select(shard, "h1", "h2", "n", "owner")
