@@ -140,6 +140,22 @@ def test_cuts_are_optimal():
         assert got == pytest.approx(best_cost(at, penalty, 16))
 
 
+def test_every_sentence_end_is_a_place_to_cut():
+    rng = np.random.default_rng(4)
+    stops = np.arange(12) == 0
+    docs = [rng.integers(0, 12, n).astype(np.uint32) for n in (70, 5, 190, 41)]
+    packer = packing.Packer(stops, 0, 64)
+    pieces = [p for i, ids in enumerate(docs) for p in packer.add(i, ids)] + packer.finish()
+    ends, stream = np.cumsum([len(d) for d in docs]), np.concatenate(docs)
+    at, penalty = packing.candidates(ends, np.flatnonzero(stops[stream]) + 1, len(stream))
+    where, got, here = dict(zip(at.tolist(), penalty.tolist())), 0, 0
+    for k in sorted({p[5] for p in pieces}):
+        n = sum(p[2] for p in pieces if p[5] == k)
+        here += n
+        got += (0 if n & (n - 1) == 0 else 64 - n) + where[here] + packing.SEQUENCE_COST
+    assert got == pytest.approx(best_cost(at.tolist(), penalty, 64))
+
+
 def check_pieces(pieces, table):
     ids = {}
     words_ = encoder(tokenizer_path())

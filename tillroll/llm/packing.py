@@ -38,8 +38,6 @@ from tillroll.llm.tokens import encoder, tokenizer_path
 SEQUENCE = 4096
 CLOSING_ID = 2
 GAP = 256
-# The first sentence end in each run of so many ids is a place to cut at.
-SPACING = 48
 SENTENCE_PENALTY, INNER_PENALTY, SEQUENCE_COST = 8.0, 32.0, 1.0
 STRETCH = 64 * SEQUENCE
 # Windows at the end of a stretch that are solved again with what follows.
@@ -134,7 +132,6 @@ class Packer:
                 break
         stream = np.concatenate(parts)
         inner = np.flatnonzero(self.stops[stream]) + 1
-        inner = inner[np.flatnonzero(np.diff(inner // SPACING, prepend=-1))]
         found = cuts(*candidates(np.array(ends, np.int64), inner, total), self.sequence)
         if not last:
             found = found[: max(2, len(found) - HELD_BACK)]
