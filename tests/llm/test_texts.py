@@ -12,7 +12,7 @@ from tillroll.llm.components import components
 from tillroll.llm.decontamination import WuManber, contamination_query, find_contamination, search, matchers, words_of
 from tillroll.llm.linededup import PerfectHash, dedup_lines, line_dedup_query
 from tillroll.llm.neardedup import band_count, block_links, estimate, keep_one, near_dedup_query, sketch, text_sets
-from tillroll.llm.repetition import judge, repetition_of
+from tillroll.llm.repetition import judge, maximal_repeats, repetition_of, suffix_array
 from tillroll.llm.words import shingles, word_hashes
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -316,6 +316,20 @@ def test_repetition_brute():
             assert got == repeats_brute(t, window, least)
 
 
+def test_intervals_cover_what_neighbours_do():
+    """The union and the longest of the spans of maximal repeats, as the README says."""
+    rng = random.Random(13)
+    for _ in range(60):
+        text = " ".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(1, 60)))
+        hashes, counts = word_hashes([text.encode()], lower=False)
+        _, codes = np.unique(hashes, return_inverse=True)
+        order, common = suffix_array(codes, np.zeros(len(codes), int))
+        spans = maximal_repeats(order, common, np.concatenate([[-1], codes[:-1]]), 1)
+        cover = {j for low, high, n in spans for i in order[low:high].tolist() for j in range(i, i + n)}
+        r = repetition_of([text], 3, 1)
+        assert r["covered"][0] == len(cover) and r["longest"][0] == max((n for *_, n in spans), default=0)
+
+
 def test_quality_rules(spark):
     rng = random.Random(12)
     loop = " ".join(["one two three four five six seven"] * 40)
