@@ -120,15 +120,16 @@ def test_unfit_models_are_refused():
 def test_piece_rows(spark):
     docs = documents(spark, awkward())
     library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
-    expected = Counter()
+    rows, spans = [], []
     for d, t in awkward():
         ids = library.encode(t or "")
-        spans = library_pieces(library, t or "")
-        marks = ";".join(",".join(str(s[i]) for s in spans) for i in (1, 2))
-        expected[d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else ""),
-                 zlib.crc32(marks.encode())] += 1
+        found = library_pieces(library, t or "")
+        rows.append((d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else "")))
+        spans.append(([b for _, b, _ in found], [e for _, _, e in found]))
+    hashed = spark.createDataFrame(spans, "begins array<int>, ends array<int>").selectExpr("xxhash64(begins, ends) AS h")
+    expected = Counter((*row, h.h) for row, h in zip(rows, hashed.collect()))
     got = pieces.sentencepiece_query(docs)
-    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_hash"]
     assert Counter(tuple(r) for r in got.collect()) == expected
     assert pieces.sentencepiece_query(docs.limit(0)).count() == 0
     encoded = pieces.encode_documents(docs)

@@ -354,13 +354,12 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def sentencepiece_query(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The operator's ids, spans and texts as digests: the row of the contract, and ``spans_crc32``
-    of the first bytes, a semicolon, and the ends."""
+    """The operator's ids, spans and texts as digests: the row of the contract, and a hash of the spans."""
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return encode_documents(docs, path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(joined("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.crc32(F.concat_ws(";", joined("begins"), joined("ends"))).alias("spans_crc32"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
     )
