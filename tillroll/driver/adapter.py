@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.expressions import recode
@@ -114,7 +114,7 @@ def written(df: DataFrame, fmt: str = "parquet") -> str:
     return path
 
 
-def numbered_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_raw(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Invoice lines whose first column, ``line_no``, is a number of their own.
 
     Lines come by order and line; lines of one number there are told apart by part,
@@ -123,7 +123,64 @@ def numbered_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = retail_raw(spark, sf_dir)
     within = "l_partkey * 1000003 + l_suppkey * 7919 + cast(rint(l_extendedprice * 100) AS BIGINT)"
     number = F.expr(f"(l_orderkey * 8 + l_linenumber) * {LINE_STRIDE} + ({within}) % {LINE_STRIDE}")
-    return raw.select(f"{ROW_ORDER}.*", *RETAIL_SCHEMA.names).select(number.alias("line_no"), *RETAIL_SCHEMA.names)
+    lines = raw.select(f"{ROW_ORDER}.*", *RETAIL_SCHEMA.names)
+    return lines.select(number.alias("line_no"), *RETAIL_SCHEMA.names, *more)
+
+
+# Parts whose lines come with a second load.
+SECOND_LOAD = "l_partkey % 3 = 0"
+
+
+def two_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Numbered lines in two loads; most invoices have lines in both."""
+    raw = numbered_raw(spark, sf_dir, F.expr(SECOND_LOAD).alias("second"))
+    return tuple(raw.where(F.col("second") == second).drop("second") for second in (False, True))
+
+
+# Every so many lines have a value that does not fit.
+BAD_QUANTITY, BAD_PRICE, BAD_DATE = 97, 101, 103
+
+
+def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines as strings, some with a quantity, price or date that does not fit its type."""
+    raw = numbered_raw(spark, sf_dir)
+    strings = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    bad = lambda column, every, value: F.when(F.col("line_no").cast("bigint") % every == 0, value).otherwise(F.col(column))
+    return strings.withColumns(
+        {
+            "Quantity": bad("Quantity", BAD_QUANTITY, "many"),
+            "UnitPrice": bad("UnitPrice", BAD_PRICE, "1.2345"),
+            "InvoiceDate": bad("InvoiceDate", BAD_DATE, "yesterday"),
+        }
+    )
+
+
+def misspelt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part's name as ``Country``: as it is, in capitals, a character short or one too many."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    named = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    at = "cast(l_orderkey % length(p_name) AS INT)"
+    return named.select(
+        F.expr(
+            f"CASE l_orderkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)"
+            f" WHEN 2 THEN concat(substring(p_name, 1, {at}), substring(p_name, {at} + 2))"
+            f" ELSE concat(substring(p_name, 1, {at}), 'q', substring(p_name, {at} + 1)) END"
+        ).alias("Country")
+    )
+
+
+def part_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up coordinate for the name of every part."""
+    part = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    return part.selectExpr("p_name AS Country", "cast(k % 360 - 180 AS DOUBLE) AS lon", "cast(k % 180 - 90 AS DOUBLE) AS lat")
+
+
+def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(branch, value, label): every customer in the branch of its nation, and all again in branch 12."""
+    customer = table(spark, sf_dir, "customer")
+    own = customer.selectExpr("cast(c_nationkey AS BIGINT) AS branch", "cast(c_custkey AS STRING) AS value", "c_mktsegment AS label")
+    return own.unionByName(own.withColumns({"branch": F.lit(12).cast("bigint"), "label": F.lit("LATE")}))
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:

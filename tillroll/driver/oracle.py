@@ -4,12 +4,16 @@ not the plan the Spark side takes."""
 from __future__ import annotations
 
 from tillroll.driver.adapter import (
+    BAD_DATE,
+    BAD_PRICE,
+    BAD_QUANTITY,
     LINE_ORDER,
     LINE_STRIDE,
     MAP_NAMES,
     NO_COORDINATE,
     NO_OUTLINE,
     REGIONS,
+    SECOND_LOAD,
     SKUS,
 )
 
@@ -130,7 +134,7 @@ ORDER BY total_invoice DESC NULLS LAST, {key} NULLS LAST""",
     )
 
 
-def _histogram(table: str, category: str, dense: bool = False) -> str:
+def _histogram(table: str, category: str, dense: bool = False, order: str = ORDER) -> str:
     groups = f"SELECT DISTINCT {category} FROM binned"
     rows = "SELECT * FROM binned" if not dense else f"""
   SELECT g.{category}, b.bin, coalesce(binned.n, 0) AS n
@@ -151,7 +155,7 @@ filled AS ({rows})
 SELECT bin, low + to_microseconds((2 * bin + 55) * r // 58 - r) AS bin_start,
        low + to_microseconds((2 * bin + 57) * r // 58 - r) AS bin_end, {category}, n
 FROM filled, bounds"""
-    return "WITH " + ",".join([RAW, _relations()]) + select
+    return "WITH " + ",".join([RAW, _relations(order=order)]) + select
 
 
 def _map(measure: str, columns: str) -> str:
@@ -304,3 +308,86 @@ ORACLE |= {
     "stored_sales_by_country": _sales("Country", LINE_NO),
     "stored_sku_by_country": _sql(SKU_BY_COUNTRY, order=LINE_NO),
 }
+
+CUSTOMERS = "SELECT * FROM geo_customers ORDER BY n DESC, Country"
+SKU_BY_REGION = """
+SELECT Region, count(*) AS n FROM (SELECT DISTINCT Region, StockCode FROM clean)
+GROUP BY Region"""
+
+
+def _close(counts: str, order: str = ORDER) -> str:
+    return _sql(f"SELECT *, true AS close FROM ({counts.split('ORDER BY')[0]})", order=order)
+
+
+# All lines of the first load come before those of the second.
+LOADS = f"CAST({SECOND_LOAD} AS INTEGER), {LINE_NO}"
+ORACLE |= {
+    "stored_sku_by_region": _sql(SKU_BY_REGION, order=LINE_NO),
+    "stored_customers_by_country": _sql(CUSTOMERS, geography=True, order=LINE_NO),
+    "stored_hist_lines_region": _histogram("clean", "Region", order=LINE_NO),
+    "stored_sku_by_country_approx": _close(SKU_BY_COUNTRY, LINE_NO),
+    "sku_by_region_approx": _close(SKU_BY_REGION),
+    "merged_clean": _sql(CLEAN, order=LOADS),
+    "merged_invoices": _sql("SELECT * FROM invoices", order=LOADS),
+    "merged_products": _sql("SELECT * FROM products", order=LOADS),
+    "merged_sales_by_country": _sales("Country", LOADS),
+    "merged_sku_by_country": _sql(SKU_BY_COUNTRY, order=LOADS),
+    "merged_customers_by_country": _sql(CUSTOMERS, geography=True, order=LOADS),
+    "merged_hist_invoices_country": _histogram("invoices", "Country", order=LOADS),
+    "merged_sku_by_country_approx": _close(SKU_BY_COUNTRY, LOADS),
+    "classify_region_table": ORACLE["classify_region"],
+    "classify_customer_table": _sql(
+        """
+SELECT InvoiceNo, CustomerID, coalesce(label, 'unknown') AS Segment FROM raw LEFT JOIN (
+  SELECT value, label FROM (
+    SELECT *, row_number() OVER (PARTITION BY value ORDER BY branch, label) AS rn FROM (
+      SELECT c_nationkey AS branch, CAST(c_custkey AS VARCHAR) AS value, c_mktsegment AS label FROM customer
+      UNION ALL SELECT 12, CAST(c_custkey AS VARCHAR), 'LATE' FROM customer))
+  WHERE rn = 1) ON CustomerID = value""",
+        raw_only=True,
+    ),
+    "scan_retail_dense": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS different FROM lineitem",
+    "scan_retail_good": _sql(
+        f"""
+SELECT {WIDE}, line_no AS row_order FROM (SELECT *, {LINE_NO} AS line_no FROM raw)
+WHERE line_no % {BAD_QUANTITY} <> 0 AND line_no % {BAD_PRICE} <> 0 AND line_no % {BAD_DATE} <> 0""",
+        raw_only=True,
+    ),
+    "scan_retail_rejects": _sql(
+        f"""
+SELECT line_no, CASE WHEN line_no % {BAD_QUANTITY} = 0 THEN 'Quantity: not int: many'
+                     WHEN line_no % {BAD_DATE} = 0 THEN 'InvoiceDate: not timestamp_ntz: yesterday'
+                     ELSE 'UnitPrice: not decimal(12,3): 1.2345' END AS reason,
+       CASE WHEN line_no % {BAD_QUANTITY} = 0 THEN 'many' ELSE CAST(Quantity AS VARCHAR) END AS quantity
+FROM (SELECT *, {LINE_NO} AS line_no FROM raw)
+WHERE line_no % {BAD_QUANTITY} = 0 OR line_no % {BAD_PRICE} = 0 OR line_no % {BAD_DATE} = 0""",
+        raw_only=True,
+    ),
+    # Every name against every place.
+    "geocode_forgiving": """
+WITH lines AS (
+  SELECT p_name, l_orderkey % 4 AS k, CAST(l_orderkey % length(p_name) AS INTEGER) AS cut
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+), names AS (
+  SELECT Country, count(*) AS n FROM (
+    SELECT CASE k WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
+                  WHEN 2 THEN substr(p_name, 1, cut) || substr(p_name, cut + 2)
+                  ELSE substr(p_name, 1, cut) || 'q' || substr(p_name, cut + 1) END AS Country FROM lines)
+  GROUP BY Country
+), places AS (
+  SELECT p_name AS place, CAST(min(p_partkey) % 360 - 180 AS DOUBLE) AS lon,
+    CAST(min(p_partkey) % 180 - 90 AS DOUBLE) AS lat
+  FROM part GROUP BY p_name
+), pairs AS (
+  SELECT Country, place, levenshtein(lower(trim(regexp_replace(Country, '\s+', ' ', 'g'))), place) AS d,
+    greatest(length(trim(regexp_replace(Country, '\s+', ' ', 'g'))), length(place)) AS l
+  FROM names, places
+), ranked AS (
+  SELECT Country, place, rank() OVER (PARTITION BY Country ORDER BY CASE WHEN Country = place THEN 0 ELSE d + 1 END) AS r
+  FROM pairs WHERE d <= CASE WHEN l < 3 THEN 0 WHEN l < 6 THEN 1 ELSE 2 END
+), best AS (
+  SELECT Country, min(place) AS place FROM ranked WHERE r = 1 GROUP BY Country HAVING count(*) = 1
+)
+SELECT names.Country, n, lon, lat, 'gazetteer' AS source
+FROM names LEFT JOIN best USING (Country) LEFT JOIN places USING (place)""",
+}

@@ -14,17 +14,24 @@ from tillroll.driver.adapter import (
     REGIONS,
     SKUS,
     boundaries,
+    customer_segments,
+    dirty_raw,
     gazetteer,
+    misspelt_parts,
     numbered_raw,
+    part_places,
     retail,
     retail_raw,
+    two_loads,
     written,
 )
 from tillroll.functions.expressions import is_in, line_total, recode, round_half_even
 from tillroll.operators.aggregates import count_by, sum_by
+from tillroll.operators.classification import branches, classify_by_table
 from tillroll.operators.joins import keep_matching, left_lookup, natural_left_join
 from tillroll.operators.keyed import distinct_rows
 from tillroll.operators.ranking import descending, factor_code, share_of_total, top_n
+from tillroll.operators.variety import LG_K
 from tillroll.plans import analyses, maps
 from tillroll.plans.retail import Retail, upper_codes
 from tillroll.schema import INVOICE_COLUMNS, RETAIL_SCHEMA, ROW_ORDER
@@ -32,7 +39,7 @@ from tillroll.session import scratch_folder
 from tillroll.sources.boundaries import read_boundaries
 from tillroll.sources.export import EXPORT_MEASURE, country_sales_export, write_country_sales
 from tillroll.sources.gazetteer import locate, read_gazetteer
-from tillroll.sources.retail import read_retail
+from tillroll.sources.retail import load_checked, read_retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +82,31 @@ def scan_retail_converted(spark, sf):
     return _report(lines.select(*RETAIL_SCHEMA.names))
 
 
+def scan_retail_dense(spark, sf):
+    """Numbers of the lines of several files."""
+    path = written(retail_raw(spark, sf).drop(ROW_ORDER).repartition(5, "StockCode"))
+    number = F.col(ROW_ORDER)
+    return read_retail(spark, path, dense=True).agg(
+        F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.count_distinct(number).alias("different"),
+    )
+
+
+def _checked(spark, sf):
+    folder = f"{scratch_folder(spark)}/checked-{uuid.uuid4().hex}"
+    return load_checked(spark, written(dirty_raw(spark, sf), "csv"), folder, "csv", sequence="line_no")
+
+
+def scan_retail_good(spark, sf):
+    return _report(_checked(spark, sf).lines)
+
+
+def scan_retail_rejects(spark, sf):
+    rejects = _checked(spark, sf).rejects
+    quantity = F.get_json_object("source", "$.Quantity").alias("quantity")
+    return rejects.select(F.col(ROW_ORDER).alias("line_no"), "reason", quantity)
+
+
 def project_upper(spark, sf):
     return upper_codes(retail_raw(spark, sf, "StockCode")).select("InvoiceNo", "StockCode")
 
@@ -93,6 +125,19 @@ def classify_region(spark, sf):
     return lines.select("InvoiceNo", "Country", "Region")
 
 
+def classify_region_table(spark, sf):
+    """The regions as a table, with a later branch that claims all countries again."""
+    everything = [c for countries in REGIONS.values() for c in countries]
+    groups = branches(spark, REGIONS | {"Anywhere": everything})
+    lines = classify_by_table(retail_raw(spark, sf, "Country"), "Country", groups, "Region")
+    return lines.select("InvoiceNo", "Country", "Region")
+
+
+def classify_customer_table(spark, sf):
+    lines = retail_raw(spark, sf, "CustomerID").select("InvoiceNo", "CustomerID")
+    return classify_by_table(lines, "CustomerID", customer_segments(spark, sf), "Segment", "unknown")
+
+
 def normalize_country(spark, sf):
     return recode(retail_raw(spark, sf, "Country"), "Country", MAP_NAMES).select("InvoiceNo", "Country")
 
@@ -189,6 +234,41 @@ def _stored(analysis) -> Query:
     return query
 
 
+def _merged(analysis) -> Query:
+    """An analysis of a model of a first load to which a second one was added."""
+
+    def query(spark, sf):
+        first, second = (read_retail(spark, written(load), sequence="line_no") for load in two_loads(spark, sf))
+        model = Retail(first).store(f"{scratch_folder(spark)}/retail-{uuid.uuid4().hex}")
+        return analysis(model.add(second))
+
+    return query
+
+
+def _close(exact: DataFrame, estimates: DataFrame, key: str) -> DataFrame:
+    """Exact counts, and whether the estimates are within four standard errors."""
+    joined = left_lookup(exact, estimates.withColumnRenamed("n", "estimate"), key)
+    error = F.abs(F.col("estimate") - F.col("n")) / F.col("n")
+    return joined.select(key, "n", (error <= 4 * 1.04 / 2 ** (LG_K / 2)).alias("close"))
+
+
+def _approximate(model) -> DataFrame:
+    return _close(analyses.sku_by_country(model), analyses.sku_by_country_approx(model), "Country")
+
+
+def sku_by_region_approx(spark, sf):
+    model = retail(spark, sf, *SKU)
+    exact, estimates = (f(model, REGIONS) for f in (analyses.sku_by_region, analyses.sku_by_region_approx))
+    return _close(exact, estimates, "Region")
+
+
+def geocode_forgiving(spark, sf):
+    """Names of parts as they stand on the lines, looked up among the parts' names."""
+    names = count_by(misspelt_parts(spark, sf), "Country")
+    located = locate(names, part_places(spark, sf), forgiving=True)
+    return located.select("Country", "n", "coord.lon", "coord.lat", "source")
+
+
 def geocode_join(spark, sf):
     sales = analyses.country_sales(retail(spark, sf, *SALES), MAP_NAMES)
     located = locate(sales, read_gazetteer(spark, written(gazetteer(spark, sf))))
@@ -321,6 +401,25 @@ OPERATORS: dict[str, Query] = {
     "stored_clean": _stored(lambda model: _report(model.clean())),
     "stored_sales_by_country": _stored(analyses.sales_by_country),
     "stored_sku_by_country": _stored(analyses.sku_by_country),
+    "stored_sku_by_region": _stored(lambda model: analyses.sku_by_region(model, REGIONS)),
+    "stored_customers_by_country": _stored(lambda model: analyses.customers_by_country(model, MAP_NAMES)),
+    "stored_hist_lines_region": _stored(lambda model: analyses.hist_lines_region(model, REGIONS)),
+    "stored_sku_by_country_approx": _stored(_approximate),
+    "sku_by_region_approx": sku_by_region_approx,
+    "merged_clean": _merged(lambda model: _report(model.clean())),
+    "merged_invoices": _merged(lambda model: model.invoices()),
+    "merged_products": _merged(lambda model: model.products()),
+    "merged_sales_by_country": _merged(analyses.sales_by_country),
+    "merged_sku_by_country": _merged(analyses.sku_by_country),
+    "merged_customers_by_country": _merged(lambda model: analyses.customers_by_country(model, MAP_NAMES)),
+    "merged_hist_invoices_country": _merged(analyses.hist_invoices_country),
+    "merged_sku_by_country_approx": _merged(_approximate),
+    "classify_region_table": classify_region_table,
+    "classify_customer_table": classify_customer_table,
+    "scan_retail_dense": scan_retail_dense,
+    "scan_retail_good": scan_retail_good,
+    "scan_retail_rejects": scan_retail_rejects,
+    "geocode_forgiving": geocode_forgiving,
 }
 
 QUERIES: dict[str, Query] = {n: _query(*a) for n, a in ANALYSES.items()} | OPERATORS

@@ -16,31 +16,36 @@ def time_histogram(
     weight: str | None = None,
     bins: int = 30,
     dense: bool = False,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (or summed ``weight``) per time bin and category: bin, bin_start, bin_end, category, n.
 
     With R the range of the times, a bin is R / (bins - 1) wide, the first is
     centred on the earliest time, and a bin holds its right edge. Bins are found
     by integer arithmetic on microseconds, exact also for times on an edge. Rows
-    without a time are left out. ``dense`` adds the empty bins of each category.
+    without a time are left out. ``dense`` adds the empty bins of each category. ``bounds`` has
+    the known range in one row (low, high); without it the rows are read for it.
     """
     if bins < 2:
         raise ValueError("a histogram needs at least two bins")
     steps = 2 * (bins - 1)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     dated = df.where(F.col(time).isNotNull())
-    # The other columns are read here as well, so that this branch has the same
-    # shuffles below it as the main one and Spark runs them once.
-    bounds = dated.agg(
-        F.struct(
-            F.min(time).alias("low"),
-            F.max(time).alias("high"),
-            n.alias("n"),
-            F.count(category).alias("c"),
+    if bounds is None:
+        # The other columns are read here as well, so that this branch has the same
+        # shuffles below it as the main one and Spark runs them once.
+        bounds = dated.agg(
+            F.struct(
+                F.min(time).alias("low"),
+                F.max(time).alias("high"),
+                n.alias("n"),
+                F.count(category).alias("c"),
+            )
         )
-    ).scalar()
+    else:
+        bounds = bounds.select(F.struct("low", "high"))
     placed = (
-        dated.withColumn("_bounds", bounds)
+        dated.withColumn("_bounds", bounds.scalar())
         .withColumn("_low", F.col("_bounds.low"))
         .withColumn("_range", micros_between(F.col("_low"), F.col("_bounds.high")))
         .withColumn("_after", micros_between(F.col("_low"), F.col(time)))

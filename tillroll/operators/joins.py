@@ -54,6 +54,11 @@ def keep_matching(left, right, on, null_safe: bool = True) -> DataFrame:
     return _join(left, right, on, "left_semi", null_safe)
 
 
+def drop_matching(left, right, on, null_safe: bool = True) -> DataFrame:
+    """Rows of ``left`` that have no match."""
+    return _join(left, right, on, "left_anti", null_safe)
+
+
 def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = True) -> DataFrame:
     """Left join on all columns the two sides share."""
     shared = [c for c in left.columns if c in right.columns]

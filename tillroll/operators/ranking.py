@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.joins import left_lookup
+from tillroll.operators.numbering import numbered_within
 
-
+# The distinct values are ranked within so many ranges, cut at quantiles of about SAMPLE of them.
 RANGES = 1024
+SAMPLE = 32 * RANGES
 
 
 def descending(df: DataFrame, measure: str, *ties: str) -> DataFrame:
@@ -31,25 +33,44 @@ def share_of_total(df: DataFrame, measure: str, name: str = "porcentage") -> Dat
     return df.withColumn(name, F.try_divide(F.col(measure).cast("double"), total))
 
 
-def factor_code(df: DataFrame, count: str, name: str) -> DataFrame:
-    """Code the distinct values of a count column 1..k in ascending order.
+def ranged(values: DataFrame, column: str, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
+    """Distinct non-null ``values`` with ``_range``, one of ``ranges`` (a power of two) ranges of about
+    equal size in ascending order.
 
-    The distinct values fall into RANGES ranges of equal width. A value is ranked within
-    its range, and the values in lower ranges are added from one small list, so no
-    task ranks them all. A NULL count has a NULL code.
+    The ranges are cut at quantiles of the values whose hash is low enough for about ``sample`` of
+    them. The hash makes the sample, and so the cuts, the same in every use, which an approximate
+    percentile would not promise; and as the values are distinct, no heavy tail crowds a range.
     """
-    values = df.select(count).where(F.col(count).isNotNull()).distinct()
-    bounds = values.agg(F.struct(F.min(count).alias("low"), F.max(count).alias("high"))).scalar()
-    width = (F.col("_bounds.high") - F.col("_bounds.low")).cast("double") + 1
-    place = (F.col(count) - F.col("_bounds.low")).cast("double") * RANGES / width
-    ranged = values.withColumn("_bounds", bounds).select(count, F.floor(place).alias("_range"))
-    sizes = ranged.groupBy("_range").agg(F.sum(F.lit(1).cast("bigint")).alias("n"))
-    sizes = sizes.agg(F.collect_list(F.struct("_range", "n")).alias("sizes")).scalar()
-    lower = F.aggregate(
-        F.filter(F.col("_sizes"), lambda s: s["_range"] < F.col("_range")),
-        F.lit(0).cast("bigint"),
-        lambda total, s: total + s["n"],
+    total = values.agg(F.sum(F.lit(1).cast("bigint"))).scalar()
+    place = F.pmod(F.xxhash64(column), F.lit(1 << 30)).cast("double") / (1 << 30)
+    drawn = values.where(place * F.coalesce(total, F.lit(0)) < sample)
+    cut = lambda k: F.get(F.col("s"), F.floor(k * F.size("s") / ranges).cast("int"))
+    cuts = drawn.agg(F.array_sort(F.collect_list(column)).alias("s")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), cut).alias("cuts")
     )
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(count))
-    codes = ranged.withColumn("_sizes", sizes).select(count, (within + lower).cast("bigint").alias(name))
+    halves = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
+    # A binary search for the number of cuts that are not above the value.
+    search = F.aggregate(
+        halves,
+        F.lit(0),
+        lambda at, half: F.when(F.get(F.col("_cuts"), at + half - 1) <= F.col(column), at + half).otherwise(at),
+    )
+    return values.withColumn("_cuts", cuts.scalar()).select(column, search.alias("_range"))
+
+
+def factor_code(df: DataFrame, count: str, name: str, few: bool = False) -> DataFrame:
+    """Code the distinct values of a count column 1..k in ascending order; a NULL has a NULL code.
+
+    Values are ranked within ranges of about equal size, and the sizes of lower ranges are added, so
+    no task ranks them all. ``few`` is for frames of report size, a row for each country
+    say: their values are one sorted list, and there is no join.
+    """
+    if few:
+        values = df.agg(F.array_sort(F.collect_set(count)).alias("values")).scalar()
+        return df.withColumn("_values", values).select(
+            *df.columns, F.array_position(F.col("_values"), F.col(count)).alias(name)
+        )
+    values = df.select(count).where(F.col(count).isNotNull()).distinct()
+    codes = numbered_within(ranged(values, count), "_range", RANGES, [count], name)
+    codes = codes.select(count, (F.col(name) + 1).alias(name))
     return left_lookup(df, codes, count, null_safe=False)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tillroll.functions.expressions import classify, exact_mean, is_in, recode
 from tillroll.operators.aggregates import (
     count_by,
-    count_distinct_by,
     mean_by,
     mean_count,
     sum_by,
@@ -59,16 +58,16 @@ def list_countries(retail: Model, limit: int | None = None) -> DataFrame:
 
 def hist_invoices_country(retail: Model, bins: int = 30, dense: bool = False) -> DataFrame:
     """Invoices over time by country."""
-    invoices = retail.facts("InvoiceDate", "Country")
-    return time_histogram(invoices, "InvoiceDate", "Country", bins=bins, dense=dense)
+    times, bounds = retail.times()
+    return time_histogram(times, "InvoiceDate", "Country", "n_invoices", bins, dense, bounds)
 
 
 def hist_lines_region(
     retail: Model, regions: Regions = REGIONS, bins: int = 30, dense: bool = False
 ) -> DataFrame:
     """Invoice lines over time by region."""
-    invoices = with_region(retail.facts("InvoiceDate", "Country"), regions)
-    return time_histogram(invoices, "InvoiceDate", "Region", "n_lines", bins, dense)
+    times, bounds = retail.times()
+    return time_histogram(with_region(times, regions), "InvoiceDate", "Region", "n_lines", bins, dense, bounds)
 
 
 # Sales and prices
@@ -109,13 +108,33 @@ def price_by_region_sku(
 
 def sku_by_region(retail: Model, regions: Regions = REGIONS) -> DataFrame:
     """Different products sold per region."""
-    lines = with_region(retail.sku_lines(), regions)
-    return descending(count_distinct_by(lines, "Region", "StockCode"), "n", "Region")
+    counts = retail.variety("StockCode", lambda df: with_region(df, regions), "Region")
+    return descending(counts, "n", "Region")
+
+
+def sku_by_region_approx(retail: Model, regions: Regions = REGIONS) -> DataFrame:
+    """``sku_by_region`` by sketches, with an error of a few hundredths."""
+    counts = retail.variety_approx("StockCode", lambda df: with_region(df, regions), "Region")
+    return descending(counts, "n", "Region")
+
+
+def sku_by_country_approx(retail: Model) -> DataFrame:
+    """``sku_by_country`` by sketches, with an error of a few hundredths."""
+    return descending(retail.variety_approx("StockCode"), "n", "Country")
+
+
+def customers_by_country_approx(
+    retail: Model, names: Names = MAP_NAMES, include_null: bool = True
+) -> DataFrame:
+    """``customers_by_country`` by sketches, with an error of a few hundredths."""
+    renamed = lambda df: recode(df, "Country", names)
+    counts = retail.variety_approx("CustomerID", renamed, include_null=include_null)
+    return descending(counts, "n", "Country")
 
 
 def sku_by_country(retail: Model) -> DataFrame:
     """Different products sold per country."""
-    return descending(count_distinct_by(retail.sku_lines(), "Country", "StockCode"), "n", "Country")
+    return descending(retail.variety("StockCode"), "n", "Country")
 
 
 # By country, under the names of the boundary table. The frames below are
@@ -133,13 +152,11 @@ def country_tickets(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
 
 
 def country_customers(retail: Model, names: Names = MAP_NAMES, include_null: bool = True) -> DataFrame:
-    invoices = recode(retail.facts("CustomerID", "Country"), "Country", names)
-    return count_distinct_by(invoices, "Country", "CustomerID", include_null)
+    return retail.variety("CustomerID", lambda df: recode(df, "Country", names), include_null=include_null)
 
 
 def country_products(retail: Model, names: Names = MAP_NAMES) -> DataFrame:
-    lines = recode(retail.sku_lines(), "Country", names)
-    return count_distinct_by(lines, "Country", "StockCode")
+    return retail.variety("StockCode", lambda df: recode(df, "Country", names))
 
 
 def geo_sales(retail: Model, names: Names = MAP_NAMES) -> DataFrame:

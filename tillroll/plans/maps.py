@@ -42,7 +42,7 @@ def _coded_outline(boundaries: DataFrame, counts: DataFrame) -> DataFrame:
     # An inner join with the distinct names, not a semi-join: Spark would push that
     # below the count, and the two uses of ``drawn`` would no longer share the count.
     drawn = inner_lookup(counts, boundaries.select("region").distinct(), {"Country": "region"})
-    return _outline(boundaries, factor_code(drawn, "n", "n_code"))
+    return _outline(boundaries, factor_code(drawn, "n", "n_code", few=True))
 
 
 def map_customers(retail: Model, boundaries: DataFrame, names: Names = MAP_NAMES) -> DataFrame:

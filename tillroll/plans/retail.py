@@ -10,19 +10,32 @@ aggregation in front, and no join. Only product questions read ``sku_lines``,
 where lines are joined to the country of their invoice.
 
 ``Retail`` computes everything from the raw lines, each time. ``Retail.store``
-writes the cleaned table and the facts once, for the many analyses that follow.
+writes the cleaned table and the facts once, for the many analyses that follow, and
+``StoredRetail.add`` puts a new load behind them: only what the load touches is repaired.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.functions.expressions import line_total
-from tillroll.operators.joins import inner_lookup, left_lookup
+from tillroll.operators.aggregates import count_distinct_by
+from tillroll.operators.joins import drop_matching, inner_lookup, left_lookup
 from tillroll.operators.keyed import distinct_with_first, first_by_key
+from tillroll.operators.numbering import value_codes
+from tillroll.operators.variety import (
+    bitmaps,
+    count_bitmaps,
+    estimate_sketches,
+    merge_bitmaps,
+    merge_sketches,
+    sketches,
+)
 from tillroll.schema import INVOICE_COLUMNS, ROW_ORDER, in_file_order
 from tillroll.session import hadoop_path, require_reachable, shared_folder
 
@@ -46,12 +59,12 @@ def invoice_lines(lines: DataFrame) -> DataFrame:
     return lines.select("StockCode", "Quantity", "UnitPrice", "InvoiceNo")
 
 
-def normalize_products(lines: DataFrame) -> DataFrame:
+def normalize_products(lines: DataFrame, *more: Column) -> DataFrame:
     """One row per product code, with the description of its first line."""
     if in_file_order(lines):
         # A task reads few products from few files.
         lines = distinct_with_first(lines, "StockCode", "Description", order=ROW_ORDER)
-    return first_by_key(lines, "StockCode", ["Description"], ROW_ORDER)
+    return first_by_key(lines, "StockCode", ["Description"], ROW_ORDER, more)
 
 
 def join_relations(
@@ -124,6 +137,28 @@ class Retail:
         lines = self.lines.select("InvoiceNo", "StockCode", "UnitPrice")
         return inner_lookup(lines, self.invoices("Country"), "InvoiceNo").drop("InvoiceNo")
 
+    def times(self) -> tuple[DataFrame, DataFrame | None]:
+        """InvoiceDate, Country, n_invoices and n_lines, and the range of the dates if it is known."""
+        return self.facts("InvoiceDate", "Country").withColumn("n_invoices", F.lit(1)), None
+
+    def _valued(self, value: str) -> DataFrame:
+        return self.sku_lines() if value == "StockCode" else self.facts(value, "Country")
+
+    def variety(
+        self, value: str, grouped: Grouping | None = None, group: str = "Country", include_null: bool = True
+    ) -> DataFrame:
+        """Different values of StockCode or CustomerID, as ``n``, per country, or per ``group`` as
+        ``grouped`` finds it from a Country column."""
+        rows = self._valued(value)
+        return count_distinct_by(grouped(rows) if grouped else rows, group, value, include_null)
+
+    def variety_approx(
+        self, value: str, grouped: Grouping | None = None, group: str = "Country", include_null: bool = True
+    ) -> DataFrame:
+        """``variety`` by sketches: estimates, and only sketches are shuffled."""
+        rows = self._valued(value)
+        return estimate_sketches(sketches(grouped(rows) if grouped else rows, group, value), group, include_null)
+
     def store(self, folder: str | None = None) -> StoredRetail:
         """Write the cleaned table and the invoice facts; return a model that reads them.
 
@@ -134,47 +169,131 @@ class Retail:
         """
         spark = self.lines.sparkSession
         folder = require_reachable(spark, folder or f"{shared_folder(spark)}/retail-{uuid.uuid4().hex}")
+        write = _Writer(spark, folder, 0)
+        facts = write(_first_facts(self.lines), "facts")
+        repairs = write(facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS), "repairs")
+        products = write(_coded_products(self.lines), "products")
+        customers = write(value_codes(facts, "CustomerID", "code"), "customers")
+        clean = write(repaired_table(self.lines, repairs, products.select("StockCode", "Description")), "clean")
+        write(_country_bitmaps(clean, products, facts, customers), "bitmaps")
+        write(_country_sketches(clean, facts), "sketches")
+        write(_times(facts), "times")
+        write(_meta(self.lines, facts), "meta")
+        return write.done()
 
-        def written(df: DataFrame, name: str) -> DataFrame:
-            df.write.parquet(f"{folder}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        facts = first_by_key(
-            self.lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, invoice_sums(), mixed="mixed"
-        )
-        facts = written(facts, "facts")
-        repairs = facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS)
-        repairs = written(repairs, "repairs")
-        products = written(self.products(), "products")
+Grouping = Callable[[DataFrame], DataFrame]
+
+# What the two distinct counts by country are of.
+VALUES = ("StockCode", "CustomerID")
+
+
+class _Writer:
+    """Writes the tables of one version of a stored model and reads them back."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: int):
+        self.spark, self.folder, self.version = spark, folder, version
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{self.version}/{name}"
+        # A version that was not finished may have left a table.
+        df.write.mode("errorifexists" if self.version == 0 else "overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self) -> StoredRetail:
+        """Readers see the version from now on."""
+        files, path = hadoop_path(self.spark, f"{self.folder}/{self.version}/{_DONE}")
+        files.create(path, True).close()
+        return StoredRetail(self.spark, self.folder, self.version)
+
+
+_DONE = "_DONE"
+
+
+def _first_facts(lines: DataFrame) -> DataFrame:
+    firsts = [F.min(ROW_ORDER).alias(ROW_ORDER)]
+    return first_by_key(lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, [*invoice_sums(), *firsts], mixed="mixed")
+
+
+def _coded_products(lines: DataFrame, after: int = 0) -> DataFrame:
+    """Products with the order of their first line and a code."""
+    products = normalize_products(lines, F.min(ROW_ORDER).alias(ROW_ORDER))
+    return left_lookup(products, value_codes(products, "StockCode", "code", after), "StockCode")
+
+
+def _both(products: DataFrame, customers: DataFrame) -> DataFrame:
+    named = lambda df, value: df.select(F.lit(value).alias("value"), *df.columns)
+    return named(products, VALUES[0]).unionByName(named(customers, VALUES[1]))
+
+
+def _country_bitmaps(clean: DataFrame, products: DataFrame, facts: DataFrame, customers: DataFrame) -> DataFrame:
+    """Which codes of products and customers each country has."""
+    sold = left_lookup(clean.select("StockCode", "Country"), products.select("StockCode", "code"), "StockCode")
+    known = left_lookup(facts.select("CustomerID", "Country"), customers, "CustomerID")
+    return _both(bitmaps(sold, "Country", "code"), bitmaps(known, "Country", "code"))
 
-        written(repaired_table(self.lines, repairs, products), "clean")
-        return StoredRetail(spark, folder)
+
+def _country_sketches(clean: DataFrame, facts: DataFrame) -> DataFrame:
+    return _both(sketches(clean, "Country", "StockCode"), sketches(facts, "Country", "CustomerID"))
+
+
+def _times(facts: DataFrame) -> DataFrame:
+    """The histograms' finest bins: invoices and lines for each date and country."""
+    one = F.sum(F.lit(1).cast("bigint")).alias("n_invoices")
+    return facts.groupBy("InvoiceDate", "Country").agg(one, F.sum("n_lines").alias("n_lines"))
+
+
+def _numbered(lines: DataFrame) -> bool:
+    return isinstance(lines.schema[ROW_ORDER].dataType, T.NumericType)
+
+
+def _meta(lines: DataFrame, facts: DataFrame, start: int = 0) -> DataFrame:
+    """One row: the range of the dates, and the number after that of the last line, if lines have numbers."""
+    last = F.max(ROW_ORDER) if _numbered(lines) else F.lit(None)
+    after = lines.agg(F.coalesce(last.cast("bigint") + 1, F.lit(start)).alias("next"))
+    dates = facts.agg(F.min("InvoiceDate").alias("low"), F.max("InvoiceDate").alias("high"))
+    return after.select("next", *[dates.select(c).scalar().alias(c) for c in ("low", "high")])
 
 
 class StoredRetail:
-    """The model read back from tables written by ``Retail.store``."""
+    """The model read back from tables written by ``Retail.store`` and ``add``.
 
-    TABLES = ("facts", "repairs", "products", "clean")
+    A folder has a subfolder for each version, 0 and up. Facts, products and the small tables
+    are whole in each version; the cleaned table is the sum of all versions' lines.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, version: int | None = None):
         self.spark = spark
         self.folder = folder
+        self.version = max(self._versions(finished=True)) if version is None else version
+
+    def _versions(self, finished: bool = False) -> list[int]:
+        files, path = hadoop_path(self.spark, self.folder)
+        found = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().isdigit()] if files.exists(path) else []
+        names = [p.getName() for p in found]
+        if finished:
+            names = [n for n in names if files.exists(hadoop_path(self.spark, f"{self.folder}/{n}/{_DONE}")[1])]
+        return [int(n) for n in names]
+
+    def _path(self, name: str, version: int | None = None) -> str:
+        return f"{self.folder}/{self.version if version is None else version}/{name}"
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+    def table(self, name: str) -> DataFrame:
+        """facts, repairs, products, customers, bitmaps, sketches, times or meta."""
+        return self.spark.read.parquet(self._path(name))
 
     def clean(self) -> DataFrame:
-        return self._table("clean")
+        return self.spark.read.parquet(*[self._path("clean", v) for v in range(self.version + 1)])
 
     def products(self) -> DataFrame:
-        return self._table("products")
+        return self.table("products").select("StockCode", "Description")
 
     def invoice_lines(self) -> DataFrame:
         return invoice_lines(self.clean())
 
     def facts(self, *columns: str) -> DataFrame:
         columns = columns or INVOICE_COLUMNS
-        return self._table("facts").select("InvoiceNo", *columns, "total", "n_lines")
+        return self.table("facts").select("InvoiceNo", *columns, "total", "n_lines")
 
     def invoices(self, *columns: str) -> DataFrame:
         return self.facts(*columns).drop("total", "n_lines")
@@ -182,14 +301,94 @@ class StoredRetail:
     def sku_lines(self) -> DataFrame:
         return self.clean().select("StockCode", "UnitPrice", "Country")
 
+    def times(self) -> tuple[DataFrame, DataFrame]:
+        return self.table("times"), self.table("meta").select("low", "high")
+
+    def _merged(self, name: str, value: str, grouped: Grouping | None) -> DataFrame:
+        rows = self.table(name).where(F.col("value") == value).drop("value")
+        return grouped(rows) if grouped else rows
+
+    def variety(
+        self, value: str, grouped: Grouping | None = None, group: str = "Country", include_null: bool = True
+    ) -> DataFrame:
+        """As ``Retail.variety``, from the bitmaps; the lines are not read."""
+        return count_bitmaps(self._merged("bitmaps", value, grouped), group, include_null)
+
+    def variety_approx(
+        self, value: str, grouped: Grouping | None = None, group: str = "Country", include_null: bool = True
+    ) -> DataFrame:
+        return estimate_sketches(self._merged("sketches", value, grouped), group, include_null)
+
+    def add(self, raw: DataFrame) -> StoredRetail:
+        """Put the lines of ``raw`` behind those of the model; return the new version.
+
+        The result is that of storing both loads at once, the old lines first, but the codes of
+        values. The new lines' numbers start anew or go on. An invoice keeps the attributes of its first
+        line, so no old line changes: new lines are repaired where their invoice, old or new, says
+        otherwise, and of the facts only the rows of the load's invoices are made anew. An
+        addition that fails leaves the model as it was.
+        """
+        meta = self.table("meta").first()
+        if not (_numbered(raw) and _numbered(self.table("facts"))):
+            raise ValueError("loads are merged by number of line: read them with a sequence, or with dense=True")
+        start = meta["next"]
+        lines = valid_lines(raw).withColumn(ROW_ORDER, (F.col(ROW_ORDER) + start).cast("bigint"))
+        write = _Writer(self.spark, self.folder, self.version + 1)
+
+        old = {name: self.table(name) for name in ("facts", "products", "customers", "bitmaps", "sketches", "times")}
+        load = write(_first_facts(lines), "load")
+        names = {c: f"_{c}" for c in old["facts"].columns if c != "InvoiceNo"}
+        both = left_lookup(load, old["facts"].withColumnsRenamed(names).withColumn("_old", F.lit(True)), "InvoiceNo")
+        known = F.col("_old").isNotNull()
+        same = F.lit(True)
+        for c in INVOICE_COLUMNS:
+            same = same & F.col(c).eqNullSafe(F.col(names[c]))
+        summed = lambda c: (F.col(c) + F.coalesce(F.col(names[c]), F.lit(0))).cast(load.schema[c].dataType).alias(c)
+        touched = both.select(
+            "InvoiceNo",
+            *[F.when(known, F.col(names[c])).otherwise(F.col(c)).alias(c) for c in INVOICE_COLUMNS],
+            summed("total"),
+            summed("n_lines"),
+            F.coalesce(names[ROW_ORDER], ROW_ORDER).alias(ROW_ORDER),
+            (F.col("mixed") | F.coalesce(names["mixed"], F.lit(False)) | (known & ~same)).alias("mixed"),
+        )
+        touched = write(touched, "touched")
+        facts = write(drop_matching(old["facts"], touched.select("InvoiceNo"), "InvoiceNo").unionByName(touched), "facts")
+        repairs = write(touched.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS), "repairs")
+
+        after = lambda name: old[name].agg(F.max("code")).first()[0] or 0
+        found = normalize_products(lines, F.min(ROW_ORDER).alias(ROW_ORDER))
+        new = write(drop_matching(found, old["products"].select("StockCode"), "StockCode"), "new_products")
+        coded = left_lookup(new, value_codes(new, "StockCode", "code", after("products")), "StockCode")
+        products = write(old["products"].unionByName(coded), "products")
+        strangers = drop_matching(touched.select("CustomerID"), old["customers"].select("CustomerID"), "CustomerID")
+        strangers = write(strangers.distinct(), "new_customers")
+        customers = old["customers"].unionByName(value_codes(strangers, "CustomerID", "code", after("customers")))
+        customers = write(customers, "customers")
+
+        clean = write(repaired_table(lines, repairs, products.select("StockCode", "Description")), "clean")
+        more = _country_bitmaps(clean, products, touched, customers).unionByName(old["bitmaps"])
+        write(_by_value(more, merge_bitmaps), "bitmaps")
+        more = _country_sketches(clean, touched).unionByName(old["sketches"])
+        write(_by_value(more, merge_sketches), "sketches")
+        write(_times(facts), "times")
+        write(_meta(lines, facts, start), "meta")
+        return write.done()
+
     def remove(self) -> None:
         """Delete the model's tables, and their folder if nothing else is in it."""
-        for name in self.TABLES:
-            files, path = hadoop_path(self.spark, f"{self.folder}/{name}")
+        for version in self._versions():
+            files, path = hadoop_path(self.spark, f"{self.folder}/{version}")
             files.delete(path, True)
         files, path = hadoop_path(self.spark, self.folder)
         if files.exists(path) and not files.listStatus(path):
             files.delete(path, False)
 
 
+def _by_value(df: DataFrame, merge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Merge a table of both values by value and country."""
+    keyed = df.withColumn("_key", F.struct("value", "Country")).drop("value", "Country")
+    return merge(keyed, "_key").select("_key.*", *[c for c in keyed.columns if c != "_key"])
+
+
 Model = Retail | StoredRetail
