@@ -18,7 +18,9 @@ The battery adds spans of kind "random":
    digits around it in its document (in the case of an alphabet of one case), is tested under
    the same encoding. The decoys of a stratum (encoding and length) show how
    ordinary text scores there: mean and spread of the root of Fisher's statistic, pulled
-   towards those of all decoys where a stratum has few. A candidate's p-value is the normal
+   towards those of all decoys where a stratum has few, and these towards a fixed null where there
+   are few at all: strings of common words (WORDS) under the same encoding. So a corpus of bare keys,
+   or of keys in a script without Latin words, has a null too. A candidate's p-value is the normal
    tail below its own score, and the Benjamini-Hochberg step over all candidates of the
    corpus at rate FDR decides.
 
@@ -33,7 +35,9 @@ without rows gives none; further columns are not looked at.
 from __future__ import annotations
 
 import math
+import random
 import re
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -55,8 +59,20 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH = 20
 ALPHA = 5e-3
 FDR = 0.01
-# Weight, in decoys, of all strata together in the moments of one.
+# Weight, in decoys, of all strata together in the moments of one, and of the fixed null in those.
 PRIOR = 50
+# What the fixed null is made of: common words and numbers; so many strings for a stratum.
+WORDS = (
+    "the of and to in that is was for it with as his on be at by had not are but from or have they which one you"
+    " were all her she there would their we him been has when who will no more if out so what up said about than"
+    " time year people way day man thing woman life child world school state family student group country problem"
+    " hand part place case week company system program question work government number night point home water room"
+    " der die und das nicht ein mit sich auf den ist auch werden haben dass eine Zeit Jahr Haus Welt Leben"
+    " le les des est dans pour que une sur avec pas plus tout homme monde vie jour temps"
+    " el los las por con para una como pero sus este mundo casa tiempo"
+    " 1 2 3 10 12 15 20 25 100 250 1000 1998 2004 2011 2016 2020 2023 31 07 365 5000 60 24"
+).split()
+NULL_STRINGS = 200
 BINS_PER_DECADE, MAX_DECADES = 20, 40
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH)
@@ -265,8 +281,26 @@ def stratum(encoding: int, length: int) -> int:
     return encoding * 32 + min(24, int(4 * math.log2(length / MIN_LENGTH)))
 
 
+@lru_cache(None)
+def fixed_null(of: int) -> tuple[float, float]:
+    """Mean and mean square of the scores of word strings of a stratum's encoding and length."""
+    encoding, octave = divmod(of, 32)
+    n, rng = int(MIN_LENGTH * 2 ** ((octave + 0.5) / 4)), random.Random(of)
+    usable = [w for w in (word.translate(_TO_ALPHABET[encoding]) for word in WORDS) if w]
+    strings = []
+    for _ in range(NULL_STRINGS):
+        text = ""
+        while len(text) < n:
+            word = rng.choice(usable)
+            text += word.title().translate(_TO_ALPHABET[encoding]) if rng.random() < 0.08 else word
+        strings.append(text[:n])
+    scores = np.sqrt(battery(strings, [encoding] * NULL_STRINGS))
+    return float(scores.mean()), float((scores**2).mean())
+
+
 def null_moments(found: DataFrame) -> dict[int, tuple[float, float]]:
-    """Mean and standard deviation of decoy scores for each stratum, pulled to the whole."""
+    """Mean and standard deviation of decoy scores for each stratum, pulled to the whole and that to
+    the fixed null."""
     sums = (
         found.select(F.explode("runs").alias("r"))
         .groupBy("r.stratum")
@@ -277,15 +311,13 @@ def null_moments(found: DataFrame) -> dict[int, tuple[float, float]]:
         )
         .collect()
     )  # at most 32 strata for each encoding
-    n = sum(r.n for r in sums)
-    if not n:
-        return {}
-    mean, square = sum(r.s for r in sums) / n, sum(r.q for r in sums) / n
+    n, s, q = (sum(r[c] for r in sums) for c in ("n", "s", "q"))
     out = {}
     for r in sums:
+        mean, square = ((total + PRIOR * fixed) / (n + PRIOR) for total, fixed in zip((s, q), fixed_null(r.stratum)))
         m = (r.s + PRIOR * mean) / (r.n + PRIOR)
-        q = (r.q + PRIOR * square) / (r.n + PRIOR)
-        out[r.stratum] = (m, max(math.sqrt(max(q - m * m, 0)), 0.25))
+        spread = (r.q + PRIOR * square) / (r.n + PRIOR) - m * m
+        out[r.stratum] = (m, max(math.sqrt(max(spread, 0)), 0.25))
     return out
 
 
