@@ -7,10 +7,12 @@
    asides, forms, adverts, notices, reader comments, by element, role, class or id) count
    as empty lines, as do lines made mostly of links outside an article. On headings and inside an
    article, words in a class or id that have other uses (UNSURE) count only for lines made mostly of links.
+   The headings in an article's own header are the article's. If more than half of the text stands in
+   forms, they are wrapped around the page and are no asides.
 2. A line block at i is the lines i to i + WINDOW - 1; its weight is the sum of their text
    lengths. Lines inside an article (an article or main element, the role of one, or an id in
-   MAIN_IDS) weigh BONUS more, so that short
-   paragraphs and titles of an article are not lost between long ones. WINDOW empty lines stand
+   MAIN_IDS) weigh BONUS more, so that a few short paragraphs of an article surge as a long one does, but a
+   single short line among empty ones doesn't. WINDOW empty lines stand
    at the edges of an article, in front of a heading right before it.
 3. A surge is a line that has text where the weight of its block is over SURGE (for pages whose blocks are
    all lighter, over half of the heaviest); a dive is where the weight falls to zero. The
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,17 +43,18 @@ from tillroll.llm.common import column, map_rows
 
 WINDOW = 3
 SURGE = 86
-BONUS = 1000
+BONUS = SURGE // 2
 # Share of a line's characters that are link text from which it counts as empty.
 LINKED = 0.6
 
-# Tags, comments and declarations; quoted attribute values may hold ">".
+# Tags, comments and declarations. A quoted value, which may hold ">", begins after "=" only; elsewhere
+# a quote is a character as any other.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -123,13 +127,17 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     return True, False, False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, container) of the page's lines; the weight is 0 for lines that don't count."""
+def lines_of(page: str, forms: bool = True) -> list[tuple[str, int, int]]:
+    """(text, weight, container) of the page's lines; the weight is 0 for lines that don't count.
+
+    ``forms`` tells whether forms are asides.
+    """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    # Open elements: name, aside, aside where mostly links, article, container.
-    stack: list[tuple[str, bool, bool, bool, int]] = []
-    aside = unsure = mains = links = linked = boxes = 0
+    # Open elements: name, aside, aside where mostly links, article, container, header of an article.
+    stack: list[tuple[str, int, bool, bool, int, bool]] = []
+    opened: Counter[str] = Counter()
+    aside = unsure = mains = links = linked = boxes = own = 0
     headings, edge, before = 0, -1, False  # the place of the line before the next, if a heading
     at, end = 0, len(page)
 
@@ -175,9 +183,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             links = 0 if closing else 1
             continue
         named = weak = main = False
-        if not closing and tag not in VOID:
+        if not closing and tag not in VOID and (forms or tag != "form"):
             named, weak, main = _marks(tag, attributes, mains > 0)
-        if tag not in BLOCKS and not named and not any(e[0] == tag for e in stack if closing):
+        if tag not in BLOCKS and not named and not (closing and opened[tag]):
             continue
         if tag in BLOCKS or named:
             flush()
@@ -189,17 +197,24 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             else:
                 boxes += 1
                 box = boxes
-            stack.append((tag, named, weak, main, box))
-            aside += named
+            # 1 for an aside, -1 for a heading of an article's own header, which undoes it.
+            mark = -1 if tag in HEADINGS and own == aside == 1 and not named else int(named)
+            own_header = tag == "header" and mains > 0 and not aside
+            own += own_header
+            stack.append((tag, mark, weak, main, box, own_header))
+            opened[tag] += 1
+            aside += mark
             unsure += weak
             mains += main
             headings += tag in HEADINGS
             continue
-        if any(e[0] == tag for e in stack):
+        if opened[tag]:
             if tag not in BLOCKS:
                 flush()
             while True:
-                top, was, less, article, _ = stack.pop()
+                top, was, less, article, _, own_header = stack.pop()
+                opened[top] -= 1
+                own -= own_header
                 aside -= was
                 unsure -= less
                 mains -= article
@@ -239,8 +254,19 @@ def bridged(lines: list[tuple[str, int, int]], chosen: list[bool]) -> list[bool]
     ]
 
 
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """``lines_of``, with forms as asides unless most of the text is in them."""
+    lines = lines_of(page)
+    if "<form" in page.lower():
+        within = lines_of(page, forms=False)
+        size = lambda found: sum(len(text) for text, weight, _ in found if weight)
+        if 2 * size(lines) < size(within):
+            return within
+    return lines
+
+
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
+    lines = page_lines(page or "")
     chosen = bridged(lines, main_lines([weight for _, weight, _ in lines]))
     return " ".join(text for (text, weight, _), ok in zip(lines, chosen) if ok and weight)
 
