@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import column, importable, map_rows, stored
 from tillroll.llm.components import components
 from tillroll.llm.words import mix, shingles, word_hashes
+from tillroll.operators.numbering import PARTS, numbered_within
 
 SHINGLE, PERCENT = 5, 80
 BAND_ROWS = 8
@@ -277,6 +278,7 @@ def block_links(
         has[owner[some], rank[some] - low] = 1
         common += has[left] @ has[right].T
     _, group = np.unique(np.asarray(components), return_inverse=True)
+    common = common.astype(np.int64)  # whole numbers so far: exact up to 2^24 common shingles
     union = size[left][:, None] + size[right][None, :] - common
     linked = (100 * common >= percent * union) & (group[left][:, None] != group[right][None, :])
     parent, a, b = list(range(len(sets))), [], []
@@ -391,13 +393,37 @@ def near_dedup_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"), k=3, percent=85)
 
 
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_doc``, a number for each different text of a doc_id; NULL without an id.
+
+    It is the doc_id, but where the rows of one have several texts, those beyond the one of the least
+    hash have numbers of their own, after all ids.
+    """
+    text = (F.isnull("text"), "text")
+    marks = {"_h1": F.xxhash64(*text), "_h2": F.xxhash64(F.lit(1), *text)}
+    marked = docs.withColumns(marks)
+    pairs = stored(marked.where("doc_id IS NOT NULL").select("doc_id", *marks).distinct(), "texts-of-ids")
+    first = pairs.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.struct(*marks)).alias("_first"))
+    more = pairs.join(first.where("_n > 1"), "doc_id").where(F.struct(*marks) != F.col("_first"))
+    dealt = more.select("doc_id", *marks, F.pmod(F.xxhash64(*marks), F.lit(PARTS)).cast("int").alias("_part"))
+    dealt = stored(dealt, "further-texts")
+    after = pairs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("bigint") + 1).scalar()
+    further = numbered_within(dealt, "_part", PARTS, ["doc_id", *marks], "_place")
+    further = further.select("doc_id", *marks, (F.col("_place") + after).alias("_number"))
+    numbered = marked.join(further, ["doc_id", *marks], "left")
+    return numbered.withColumn("_doc", F.coalesce("_number", F.col("doc_id").cast("bigint"))).select(*docs.columns, "_doc")
+
+
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of documents that are not the first of their group.
 
-    Of repeated rows of a doc_id one stays; rows without a doc_id stay.
+    Of rows of one doc_id and one text one stays. Rows of one doc_id and different texts are
+    different documents: they go by links alone, and of linked ones those stay whose number comes first
+    (``numbered_texts``). Rows without a doc_id stay.
     """
-    verdict = near_duplicates(docs.select("doc_id", "text"), k, percent)
-    gone = verdict.where("NOT kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    named = stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(stay.where("doc_id IS NULL"))
+    numbered = numbered_texts(docs)
+    verdict = near_duplicates(numbered.select(F.col("_doc").alias("doc_id"), "text"), k, percent)
+    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_doc")).distinct()
+    stay = numbered.join(gone, "_doc", "left_anti")
+    named = stay.where("_doc IS NOT NULL").dropDuplicates(["_doc"])
+    return named.unionByName(stay.where("_doc IS NULL")).select(docs.columns)
