@@ -1,0 +1,253 @@
+"""Cases that once lost data or ended a job: keys without words around, long blanks, rows of one id, odd pages."""
+
+import math
+import random
+import time
+from collections import Counter
+from statistics import NormalDist
+
+import numpy as np
+import pytest
+
+from tests.llm.tables import documents, words
+from tests.llm.test_texts import edited, near_brute
+from tillroll.llm import linedistribution, secretscan, trainingorder
+from tillroll.llm.linedistribution import lines_of, main_lines, main_text
+from tillroll.llm.neardedup import block_links, keep_one
+from tillroll.llm.tokens import tokenizer_path
+
+# --- secret scan
+
+
+def key(rng, n, alphabet):
+    """A random key of n characters, of every class of the alphabet."""
+    while True:
+        made = "".join(rng.choice(alphabet) for _ in range(n))
+        classes = [set("0123456789"), set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+        if all(not c & set(alphabet) or c & set(made) for c in classes):
+            return made
+
+
+ALPHABETS = dict(secretscan.ENCODINGS)
+JAPANESE = "これは日本語の文章です。鍵は {} です。忘れないでください。"
+PROSE = "The committee discussed internationalization and counterrevolutionaries, un/related things like state-of-the-art."
+
+
+@pytest.mark.parametrize("name, n", [("base62", 24), ("base62", 40), ("base36", 32), ("base64", 40), ("hex", 28), ("base32", 32)])
+@pytest.mark.parametrize("around", ["{}", JAPANESE], ids=["bare", "japanese"])
+def test_keys_without_words_around(spark, name, n, around):
+    rng = random.Random(f"{name} {n}")
+    keys = [key(rng, n, ALPHABETS[name]) for _ in range(50)]
+    texts = [around.format(k) for k in keys]
+    found = {r.doc_id: r.spans for r in secretscan.secret_query(documents(spark, texts)).collect()}
+    at = around.index("{}")
+    hits = 0
+    for i in range(50):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+        assert all(at <= a < b <= at + n for a, b in spans), texts[i]
+        hits += any(b - a >= 0.8 * n for a, b in spans)
+    assert hits >= 45
+
+
+def test_no_span_on_prose_alone(spark):
+    texts = [PROSE] * 30 + ["Donaudampfschifffahrtsgesellschaftskapitaen und andere", "AAAAAAAAAAAAAAAAAAAAAAAAAA", "=" * 40, "a" * 64,
+                            "/usr/local/share/documentation/index-of-everything", "12345678901234567890123456"]
+    for r in secretscan.secret_query(documents(spark, texts)).collect():
+        assert "random" not in r.spans, r
+
+
+def test_decision_by_brute_force(spark):
+    """Moments, p-values and the step over all candidates, computed one after another."""
+    rng = random.Random(21)
+    texts = [f"{words(rng, 30)} {key(rng, 36, ALPHABETS['base62'])} {words(rng, 20)}" for _ in range(25)]
+    texts += [f"some-longer-compound-words-{i} and interdisciplinaryundertakings{i} here" for i in range(60)]
+    texts += [key(rng, 30, ALPHABETS["base36"]) for _ in range(5)] + ["", None]
+    docs = documents(spark, texts)
+    tested = [(r.doc_id, c) for r in secretscan.scanned(docs).collect() for c in r.runs]
+    decoys = [(c.stratum, c.decoy) for _, c in tested if c.decoy is not None]
+    bins = {}
+    for stratum in {c.stratum for _, c in tested}:
+        own = [d for s, d in decoys if s == stratum]
+        moment = []
+        for power in (1, 2):
+            fixed = secretscan.fixed_null(stratum)[power - 1]
+            whole = (sum(d**power for _, d in decoys) + secretscan.PRIOR * fixed) / (len(decoys) + secretscan.PRIOR)
+            moment.append((sum(d**power for d in own) + secretscan.PRIOR * whole) / (len(own) + secretscan.PRIOR))
+        bins[stratum] = NormalDist(moment[0], max(math.sqrt(max(moment[1] - moment[0] ** 2, 0)), 0.25))
+    p = [bins[c.stratum].cdf(c.score) for _, c in tested]
+    place = [min(299, math.floor(-math.log10(max(x, 1e-300)) * secretscan.BINS_PER_DECADE + 1e-9)) for x in p]
+    least = None
+    for b in sorted(set(place), reverse=True):
+        if 10 ** (-b / secretscan.BINS_PER_DECADE) <= secretscan.FDR * sum(x >= b for x in place) / len(place):
+            least = b
+    want = Counter((d, c.start, c.end) for (d, c), b in zip(tested, place) if c.random and least is not None and b >= least)
+    got = Counter((r.doc_id, s.start, s.end) for r in secretscan.scan_secrets(docs).collect() for s in r.random)
+    assert got == want and len(want) >= 25
+
+
+def test_the_fixed_null_is_fixed():
+    for encoding in range(len(secretscan.ENCODINGS)):
+        mean, square = secretscan.fixed_null(32 * encoding + 3)
+        assert (mean, square) == secretscan.fixed_null.__wrapped__(32 * encoding + 3)
+        assert math.isfinite(mean) and square >= mean * mean - 1e-9
+
+
+# --- training order
+
+
+def byte_encoding():
+    return trainingorder.byte_encoding(tokenizer_path(trainingorder.VOCABULARY))
+
+
+def test_blanks_are_cut_without_changing_ids():
+    rng, encoding = random.Random(22), byte_encoding()
+    blanks = [" ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\u0085", "\x1c", "​"]
+    for _ in range(3000):
+        text = "".join(rng.choice([*blanks, "a", "word", "'s", "1", "!", "é"]) for _ in range(rng.randrange(25)))
+        assert trainingorder.encode_text(encoding, text, limit=2) == encoding.encode_ordinary(text), repr(text)
+    for text in (" " * 50_000, "a" + " " * 50_000 + "b", "\n" * 50_000 + " x"):
+        assert trainingorder.encode_text(encoding, text) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("letter", [" ", "\n", "a", "!"])
+def test_ten_million_of_one_character(letter):
+    encoding, n = byte_encoding(), 10**7
+    ids = trainingorder.encode_text(encoding, letter * n)
+    assert encoding.decode(ids) == letter * n
+    if letter in "a!":
+        assert ids == encoding.encode_ordinary(letter * n)
+
+
+def test_long_blanks_in_a_table(spark):
+    docs = documents(spark, ["x" + " " * 1_000_000 + "y", "z"])
+    shards = trainingorder.materialise(docs, length=4096, shard_sequences=64)
+    assert sum(r.n_sequences for r in shards.collect()) >= 1_000_000 // 4096
+
+
+# --- near duplicates
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    rng = random.Random(23)
+    texts = [words(rng, 80, 5000) for _ in range(8)]
+    near = [texts[0] + " tail", texts[3] + " tail"]
+    alone = [(1, texts[1]), (2, texts[2]), (3, texts[3]), (4, None), (4, ""), (4, "one"), (4, "two"), (9, texts[5])]
+    table = [*alone, (1, texts[1]), (1, texts[0]), (2, near[0]), (None, texts[3]), (5, near[1])]
+    kept = Counter((r.doc_id, r.text) for r in keep_one(documents(spark, table)).collect())
+    # Of two linked texts under ids with several texts each, hashes say which comes first.
+    either = kept & Counter([(1, texts[0]), (2, near[0])])
+    assert kept == Counter([*alone, (None, texts[3])]) + either and sum(either.values()) == 1
+
+
+def test_repeated_ids_against_brute_force(spark):
+    """Texts under repeated ids go as they would under ids of their own."""
+    rng = random.Random(24)
+    bases = [words(rng, 120, 3000) for _ in range(5)]
+    texts = [edited(rng, rng.choice(bases), 0.01) for _ in range(60)]
+    groups = {c for _, _, c, _ in near_brute(list(enumerate(texts)), 5, 80)}
+    table = [(i % 7, t) for i, t in enumerate(texts)]
+    kept = keep_one(documents(spark, table)).collect()
+    assert len(kept) == len(groups)
+    assert {(r.doc_id, r.text) for r in kept} <= set(table)
+
+
+def test_common_shingles_of_very_long_texts_are_exact():
+    n = 700_000  # 100 times the common shingles is beyond what a float holds exactly
+    a = np.arange(n, dtype=np.uint64)
+    b = np.concatenate([a[: n - 77_778], np.arange(10**7, 10**7 + 77_777, dtype=np.uint64)])
+    common, union = n - 77_778, n + 77_777
+    percent = 100 * common // union
+    assert 100 * common >= percent * union
+    for p in (percent, percent + 1):
+        found = block_links([0, 1], [0, 1], [0, 0], [a.tobytes(), b.tobytes()], p)
+        assert bool(found[0]) == (100 * common >= p * union)
+
+
+# --- pages
+
+LONG = "This paragraph is long enough to surge by itself, as it has well over the length that a block needs."
+
+
+def test_a_form_around_the_page():
+    assert main_text(f"<body><form action=/><div><h1>T</h1><p>{LONG}</p><p>short</p></div></form></body>") == f"T {LONG} short"
+    assert main_text(f"<article><p>{LONG}</p></article><form><p>Sign up, please.</p></form>") == LONG
+    both = f"<form><nav>Home About</nav><div><p>{LONG}</p></div><select><option>Red</select><button>Go</button></form>"
+    assert main_text(both) == LONG
+
+
+def test_quotes_begin_after_an_equals_sign_only():
+    page = f"<article><p title=don't>{LONG}</p><p>It's fine</p><p title=\"a > b\">three</p><p data-id='nav > x'>four</p></article>"
+    assert main_text(page) == f"{LONG} It's fine three four"
+    assert main_text(f"<article><p title=\"unclosed>{LONG}</p></article>") == LONG
+
+
+def test_an_articles_own_header():
+    page = f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By X</p></header><p>{LONG}</p><footer><h2>Tags</h2></footer></article>"
+    assert main_text(page) == f"Title {LONG}"
+    assert main_text(f"<article><nav><h2>Menu</h2></nav><p>{LONG}</p></article>") == LONG
+
+
+def test_ids_are_attributes_of_their_own():
+    assert main_text(f"<article><p data-id=nav>a</p><p my-class='comments'>b</p><p>{LONG}</p></article>") == f"a b {LONG}"
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        page = "<div>" * n + "</b>" * n + f"<p>{LONG}"
+        start = time.perf_counter()
+        assert main_text(page) == LONG
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
+def brute_lines(weights, window, surge):
+    """Surges and dives by their definition, one line after another."""
+    n = len(weights)
+    block = [sum(weights[i : i + window]) for i in range(n)]
+    least = min(surge, max(block, default=0) // 2)
+    main = set()
+    for start in range(n):
+        if not (weights[start] and block[start] > least):
+            continue
+        end = start  # up to the dive
+        while end < n and block[end]:
+            end += 1
+        main.update(range(start, end))
+    # A surge is moved back over the text right before it.
+    for start in [i for i in main if i - 1 not in main]:
+        back = start - 1
+        while back >= 0 and weights[back]:
+            main.add(back)
+            back -= 1
+    return [i in main for i in range(n)]
+
+
+def test_line_blocks_by_brute_force():
+    rng = random.Random(25)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 0, 5, 20, 40, 90, 200]) for _ in range(rng.randrange(25))]
+        window, surge = rng.choice([(3, 86), (2, 30), (4, 150)])
+        got, want = main_lines(weights, window, surge), brute_lines(weights, window, surge)
+        text = [i for i, w in enumerate(weights) if w]
+        assert [got[i] for i in text] == [want[i] for i in text], weights
+
+
+def test_surges_decide_without_an_article():
+    """Lines of text that stand in no container: the heavy stretch is kept, light ones off it are not."""
+    light = "".join(f"<p>tiny {i}<p><nav>x</nav><nav>x</nav><nav>x</nav>" for i in range(4))
+    page = f"{light}<p>{LONG}<p>near<p>{LONG}{'<nav>x</nav>' * 3}{light}"
+    assert main_text(page) == f"{LONG} near {LONG}"
+    weights = [w for _, w, _ in lines_of(page)]
+    assert not all(main_lines(weights)) and any(main_lines(weights))
+
+
+def test_a_long_gap_overrules_an_article():
+    """In an article a few short lines surge together, one alone among empty lines does not."""
+    far = "<nav>x</nav>" * linedistribution.WINDOW
+    assert linedistribution.BONUS < linedistribution.SURGE
+    weights = [w for _, w, _ in lines_of(f"<article><p>a<p>b<p>c{far}<p>d{far}</article><p>{LONG}<p>{LONG}")]
+    chosen = main_lines(weights)
+    text = [ok for w, ok in zip(weights, chosen) if w]
+    assert text == [True, True, True, False, True, True]
