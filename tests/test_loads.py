@@ -116,11 +116,11 @@ def test_two_loads_are_one_model(spark, tmp_path):
     merged = one.add(frame(spark, data[cut:], 3))
     assert merged.version == 1 and StoredRetail(spark, one.folder).version == 1
     for table in ("facts", "products"):
-        columns = [c for c in both.table(table).columns if c != "code"]
+        columns = [c for c in both.table(table).columns if c not in ("code", ROW_ORDER)]
         assert bag(merged.table(table).select(columns)) == bag(both.table(table).select(columns)), table
     assert bag(merged.clean()) == bag(both.clean())
     assert sorted(rows(merged.table("times")), key=repr) == sorted(rows(both.table("times")), key=repr)
-    assert rows(merged.table("meta")) == rows(both.table("meta"))
+    assert rows(merged.table("meta").drop("next")) == rows(both.table("meta").drop("next"))
     codes = dict(rows(merged.table("products").select("StockCode", "code")))
     assert len(set(codes.values())) == len(codes)
     for analysis in (
@@ -147,7 +147,6 @@ def test_three_loads_and_empty_ones(spark, tmp_path):
     assert model.version == 3 and bag(model.clean()) == bag(both.clean())
     assert rows(a.sku_by_region(model)) == rows(a.sku_by_region(both))
     assert bag(a.hist_lines_region(model)) == bag(a.hist_lines_region(both))
-    assert model.table("meta").first()["next"] == both.table("meta").first()["next"]
 
 
 def test_only_touched_invoices_are_repaired(spark, tmp_path):

@@ -322,8 +322,8 @@ class StoredRetail:
     def add(self, raw: DataFrame) -> StoredRetail:
         """Put the lines of ``raw`` behind those of the model; return the new version.
 
-        The result is that of storing both loads at once, the old lines first, but the codes of
-        values. The new lines' numbers start anew or go on. An invoice keeps the attributes of its first
+        The result is that of storing both loads at once, the old lines first, but the numbers of lines
+        and the codes of values. The new lines' numbers may start anew or go on. An invoice keeps the attributes of its first
         line, so no old line changes: new lines are repaired where their invoice, old or new, says
         otherwise, and of the facts only the rows of the load's invoices are made anew. An
         addition that fails leaves the model as it was.
