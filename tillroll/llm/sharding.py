@@ -12,7 +12,7 @@ and with fewer than some thousands of groups almost every bundle is one group.
 
 Loads are summed before the shuffle, so a text with a third of all rows costs a row per
 task. Slots number the rows of a shard without gaps: rows are dealt into parts by a hash of
-the id, the sizes of the parts give each part its first slot, and rows are numbered within.
+the id and the text, the sizes of the parts give each part its first slot, and rows are numbered within.
 
 Cases: a NULL text has size 1 and is equal to the empty text; NULL doc_ids and repeated rows
 take slots as any other row; a table without rows gives none; ties go to the lowest shard,
@@ -84,7 +84,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLE
         .join(F.broadcast(alone), ["h1", "h2"], "left")
         .join(F.broadcast(bundled), "bundle", "left")
         .withColumn("shard", F.coalesce("own", "shard"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "h1", "h2"), F.lit(parts)))
         .drop("own", "bundle")
     )
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
