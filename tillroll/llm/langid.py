@@ -40,6 +40,8 @@ from tillroll.llm.common import column, ddl, map_rows
 ORDER = 3
 MIN_COUNT = 4
 SAMPLE_ROWS = 300
+# Parts in which the rows of a language are first ranked.
+DEALS = 64
 SAMPLE_BYTES = 1 << 16
 CHUNKS = 4
 UNDETERMINED = "und"
@@ -75,14 +77,12 @@ def training_sample(
     texts of at most ``size`` bytes, longer ones as excerpts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     marked = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(9)).alias("mark"))
-    order = Window.partitionBy("lang").orderBy("mark")
-    chosen = (
-        marked.select("lang", "mark")
-        .distinct()
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= rows)
-        .select("lang", "mark")
-    )
+    chosen = marked.select("lang", "mark").distinct().withColumn("deal", F.pmod("mark", F.lit(DEALS)))
+    # The lowest marks of each deal first, so that no task gets rows of a language from every other task.
+    for keys in (("lang", "deal"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    chosen = chosen.select("lang", "mark")
     # At most ``rows`` marks for each language; equal rows count once.
     found = marked.join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
     parts = found.select("lang", "mark", excerpt(F.col("text"), size).alias("text"))
