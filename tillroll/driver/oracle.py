@@ -364,7 +364,7 @@ WHERE line_no % {BAD_QUANTITY} = 0 OR line_no % {BAD_PRICE} = 0 OR line_no % {BA
         raw_only=True,
     ),
     # Every name against every place.
-    "geocode_forgiving": """
+    "geocode_forgiving": r"""
 WITH lines AS (
   SELECT p_name, l_orderkey % 4 AS k, CAST(l_orderkey % length(p_name) AS INTEGER) AS cut
   FROM lineitem JOIN part ON l_partkey = p_partkey
