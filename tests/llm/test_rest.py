@@ -156,6 +156,50 @@ def test_every_sentence_end_is_a_place_to_cut():
     assert got == pytest.approx(best_cost(at.tolist(), penalty, 64))
 
 
+def packed_cost(docs, stops, sequence):
+    """Cost of the packing of one stream, the least cost, and the places held at most."""
+    packer, pieces, held = packing.Packer(stops, 0, sequence), [], 0
+    for i, ids in enumerate(docs):
+        pieces += packer.add(i, ids)
+        held = max(held, len(packer.cutter.at))
+    pieces += packer.finish()
+    ends, stream = np.cumsum([len(d) for d in docs]), np.concatenate(docs)
+    at, penalty = packing.candidates(ends, np.flatnonzero(stops[stream]) + 1, len(stream))
+    where, got, here = dict(zip(at.tolist(), penalty.tolist())), 0, 0
+    for k in sorted({p[5] for p in pieces}):
+        n = sum(p[2] for p in pieces if p[5] == k)
+        assert 0 < n <= sequence
+        here += n
+        got += (0 if n & (n - 1) == 0 else sequence - n) + where[here] + packing.SEQUENCE_COST
+    assert here == len(stream)
+    return got, best_cost(at.tolist(), penalty, sequence), held
+
+
+@pytest.fixture
+def short_stretches(monkeypatch):
+    for name, value in {"STRETCH": 100, "TAIL": 32, "GAP": 16, "HELD": 10**9}.items():
+        monkeypatch.setattr(packing, name, value)
+
+
+def test_stretches_give_the_optimum_of_the_whole_stream(short_stretches):
+    rng = np.random.default_rng(4)
+    stops = np.arange(12) == 0
+    for t in range(40):
+        some = rng.integers(1, 120, rng.integers(1, 14))
+        docs = [rng.integers(t % 2, 12, n).astype(np.uint32) for n in some]
+        got, least, _ = packed_cost(docs, stops, 32)
+        assert got == least
+
+
+def test_ways_that_never_meet_are_bounded(short_stretches, monkeypatch):
+    stops, docs = np.zeros(2, bool), [np.ones(8, np.uint32)] * 200
+    got, least, held = packed_cost(docs, stops, 32)
+    assert got == least and held > 150
+    monkeypatch.setattr(packing, "HELD", 300)
+    got, least, held = packed_cost(docs, stops, 32)
+    assert least <= got <= least + 32 * (1600 // 300) and held < 60
+
+
 def check_pieces(pieces, table):
     ids = {}
     words_ = encoder(tokenizer_path())
@@ -199,6 +243,14 @@ def test_packing_cases(spark, monkeypatch):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_many_partitions_pad_little(spark):
+    rng = random.Random(6)
+    table = [(i, words(rng, rng.randrange(20, 900)).replace("7 ", "7. ")) for i in range(120)]
+    docs = documents(spark, table)
+    for parts in (1, 40):
+        assert check_pieces(packing.pack(docs.repartition(parts)).collect(), table) < 0.01
+
+
 # --- secret scan
 
 
