@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm.tables import awkward, documents, words
+from tillroll.llm import decontamination
 from tillroll.llm.components import components
 from tillroll.llm.decontamination import WuManber, contamination_query, find_contamination, search, matchers, words_of
 from tillroll.llm.linededup import PerfectHash, dedup_lines, line_dedup_query
@@ -162,6 +163,31 @@ def test_contamination_brute(spark, block_bytes):
         assert verdict[d, n] == (len(h) > 0 and 20 * len(h) >= n)
 
 
+@pytest.mark.parametrize("turn,run", [(16, 1 << 25), (16, 300), (2, 300)])
+def test_blocks_of_a_benchmark_agree_with_one(spark, monkeypatch, turn, run):
+    rng = random.Random(9)
+    items = [(i, words(rng, rng.choice([3, 14, 30]), 50)) for i in range(20)]
+    texts = [f"{words(rng, 20)} {rng.choice(items)[1]} {rng.choice(items)[1]}" for _ in range(60)]
+    docs, benchmark = documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda **how: rows(find_contamination(docs, benchmark, **how).select("doc_id", "n_words", "hits", "items", "shard"))
+    one = found()
+    monkeypatch.setattr(decontamination, "TURN_BLOCKS", turn)
+    monkeypatch.setattr(decontamination, "RUN_BYTES", run)
+    assert len(list(decontamination.blocks_of(benchmark, 1000))) > 3
+    assert found(block_bytes=1000) == one
+
+
+def test_documents_are_read_once_for_several_blocks(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    documents(spark, ["a b c", "d e f"]).write.parquet(path)
+    benchmark = spark.createDataFrame([(i, f"a b {i}") for i in range(3)], "item_id bigint, text string")
+    assert len(list(decontamination.blocks_of(benchmark, 1))) == 3
+    found = find_contamination(spark.read.parquet(path), benchmark, block_bytes=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1
+    assert "Exchange" not in plan
+
+
 def test_contamination_empty_tables(spark):
     docs = documents(spark, awkward())
     benchmark = spark.createDataFrame([], "item_id bigint, text string")

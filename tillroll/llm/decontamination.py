@@ -22,17 +22,20 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import column, ddl, map_rows, stored
+from tillroll.llm.common import arrow_schema, column, ddl, importable, record_batch, slices, stored
 
 WINDOW = 13
-# Bytes of benchmark text whose patterns are held by a task at once; more is searched in turns.
-BLOCK_BYTES = 8 << 20
+# Bytes of benchmark text whose patterns a task holds at once, and the blocks sent out at once.
+BLOCK_BYTES, TURN_BLOCKS = 8 << 20, 16
+# Bytes of documents that a task takes through several blocks together.
+RUN_BYTES = 32 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -129,9 +132,11 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with n_words, hits (array of [start, end) word ranges) and items (sorted ids).
 
-    Documents never move: the benchmark, the query set, goes to them in blocks of
-    bounded size. One block is the usual case. With more, the hits so far are written
-    to the shared folder between the turns, so that memory stays that of one block.
+    Documents never move: the benchmark, the query set, goes to them in blocks of bounded
+    size. A task holds the patterns of one block at a time and takes a run of documents
+    through all blocks, so that documents are read once. Beyond TURN_BLOCKS blocks (a bound on
+    what is sent to executors) the hits so far are written to the shared folder
+    before the next turn.
     """
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(
@@ -140,13 +145,15 @@ def find_contamination(
         F.expr("cast(array() AS array<array<bigint>>)").alias("hits"),
         F.expr("cast(array() AS array<string>)").alias("items"),
     )
+    send = docs.sparkSession.sparkContext.broadcast
+    sent = ((uuid.uuid4().hex, send(block)) for block in blocks_of(benchmark, block_bytes))
     turns = 0
-    for block in blocks_of(benchmark, block_bytes):
+    for blocks in batched(sent, TURN_BLOCKS):
         if turns:
             out = stored(out, "decontamination")
         turns += 1
-        out = _one_turn(out, block, window, keep)
-    return out if turns else _one_turn(out, [], window, keep)
+        out = _one_turn(out, blocks, window, keep)
+    return out if turns else _one_turn(out, [(uuid.uuid4().hex, send([]))], window, keep)
 
 
 _tables: dict = {}
@@ -160,24 +167,45 @@ def tables_of(name: str, block, window: int) -> list[WuManber]:
     return _tables[name]
 
 
-def _one_turn(df: DataFrame, items: list, window: int, keep: list[str]) -> DataFrame:
-    block, name = df.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-
-    def find(batch: pa.RecordBatch) -> list:
-        tables = tables_of(name, block, window)
-        n_words, hits, items = [], [], []
-        for text, before, names in zip(
-            column(batch, "text"), column(batch, "hits"), column(batch, "items")
-        ):
-            words = words_of(text)
-            ranges, found = search(words, tables)
-            n_words.append(len(words))
-            hits.append(merged([*map(tuple, before), *map(tuple, ranges)]))
-            items.append(sorted({*names, *found}))
-        same = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-        return [*same, n_words, hits, items]
-
-    return map_rows(df, ddl(df), find)
+def runs_of(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of batches, together until they have ``limit`` bytes."""
+    run, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            run.append(part)
+            size += part.nbytes
+            if size >= limit:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def _one_turn(df: DataFrame, blocks: Iterable[tuple], window: int, keep: list[str]) -> DataFrame:
+    """Search ``blocks`` of (name, broadcast items) and add to the hits and items of ``df``."""
+    blocks, schema = tuple(blocks), ddl(df)
+    arrow = arrow_schema(schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs_of(batches, RUN_BYTES if len(blocks) > 1 else 0):
+            n_words = [[0] * part.num_rows for part in run]
+            hits = [[[*map(tuple, x)] for x in column(part, "hits")] for part in run]
+            items = [[set(x) for x in column(part, "items")] for part in run]
+            for name, block in blocks:
+                tables = tables_of(name, block, window)
+                for k, part in enumerate(run):
+                    for i, text in enumerate(column(part, "text")):
+                        words = words_of(text)
+                        ranges, found = search(words, tables)
+                        n_words[k][i] = len(words)
+                        hits[k][i] += map(tuple, ranges)
+                        items[k][i] |= found
+            for part, n, ranges, names in zip(run, n_words, hits, items):
+                same = [part.column(part.schema.get_field_index(c)) for c in keep]
+                found = [n, [merged(r) for r in ranges], [sorted(x) for x in names]]
+                yield record_batch([*same, *found], arrow)
+
+    return importable(df).mapInArrow(find, schema)
 
 
 def judged(found: DataFrame) -> DataFrame:
