@@ -100,26 +100,39 @@ class Cutter:
         p, cost, back, queue, sequence = self.at, self.cost, self.back, self.queue, self.sequence
         first = bisect_left(p, int(at[0]) - sequence)
         near = np.concatenate([np.array(p[first:], np.int64), at])
-        exact: list[list[int]] = [[] for _ in at]
-        power = 1
+        # Windows of a power of two as (end, start), by end.
+        ends, starts, power = [], [], 1
         while power < sequence:
             start = np.searchsorted(near, at - power)
-            for j in np.flatnonzero(near[start] == at - power).tolist():
-                exact[j].append(first + int(start[j]))
+            some = np.flatnonzero(near[start] == at - power)
+            ends.append(some)
+            starts.append(start[some])
             power *= 2
-        for here, extra, starts in zip(at.tolist(), (penalty + SEQUENCE_COST).tolist(), exact):
-            while p[queue[0][1]] < here - sequence:
+        end = np.concatenate(ends)
+        exact = (np.concatenate(starts)[np.argsort(end, kind="stable")] + first).tolist()
+        upto = np.cumsum(np.bincount(end, minlength=len(at))).tolist()
+        begin, j, horizon = 0, len(p), p[queue[0][1]] + sequence
+        for here, extra, stop in zip(at.tolist(), (penalty + SEQUENCE_COST).tolist(), upto):
+            while horizon < here:
                 queue.popleft()
+                horizon = p[queue[0][1]] + sequence
             low, i = queue[0]
             low += sequence - here
-            for k in starts:
+            for k in exact[begin:stop]:
                 if cost[k] < low:
                     low, i = cost[k], k
+            begin = stop
             low += extra
-            self._push(low + here, len(p))
             p.append(here)
             cost.append(low)
             back.append(i)
+            reach = low + here
+            if queue[-1][0] >= reach:
+                self._push(reach, j)
+                horizon = p[queue[0][1]] + sequence
+            else:
+                queue.append((reach, j))
+            j += 1
 
     def _push(self, reach: float, j: int) -> None:
         while self.queue and self.queue[-1][0] >= reach:
