@@ -13,7 +13,7 @@ from tests.llm.tables import documents, words
 from tests.llm.test_texts import edited, near_brute
 from tillroll.llm import linedistribution, secretscan, trainingorder
 from tillroll.llm.linedistribution import lines_of, main_lines, main_text
-from tillroll.llm.neardedup import block_links, keep_one
+from tillroll.llm.neardedup import group_links, keep_one
 from tillroll.llm.tokens import tokenizer_path
 
 # --- secret scan
@@ -159,7 +159,7 @@ def test_common_shingles_of_very_long_texts_are_exact():
     percent = 100 * common // union
     assert 100 * common >= percent * union
     for p in (percent, percent + 1):
-        found = block_links([0, 1], [0, 1], [0, 0], [a.tobytes(), b.tobytes()], p)
+        found = group_links([0, 1], [0, 1], [0, 0], [a.tobytes(), b.tobytes()], p)
         assert bool(found[0]) == (100 * common >= p * union)
 
 

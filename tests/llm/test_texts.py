@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.tables import awkward, documents, words
@@ -12,7 +13,7 @@ from tillroll.llm import decontamination
 from tillroll.llm.components import components
 from tillroll.llm.decontamination import WuManber, contamination_query, find_contamination, search, matchers, words_of
 from tillroll.llm.linededup import PerfectHash, dedup_lines, line_dedup_query
-from tillroll.llm.neardedup import band_count, block_links, estimate, keep_one, near_dedup_query, sketch, text_sets
+from tillroll.llm.neardedup import band_count, estimate, group_links, keep_one, near_dedup_query, placed_members, sketch, text_sets
 from tillroll.llm.repetition import judge, maximal_repeats, repetition_of, suffix_array
 from tillroll.llm.words import shingles, word_hashes
 
@@ -256,7 +257,77 @@ def test_near_dedup_crowds(spark, monkeypatch):
     monkeypatch.setattr(module, "SMALL", 2)
     monkeypatch.setattr(module, "BLOCK_SETS", 8)
     table = near_table(random.Random(7))
-    assert rows(near_dedup_query(documents(spark, table))) == near_brute(table, 3, 85)
+    want = near_brute(table, 3, 85)
+    assert rows(near_dedup_query(documents(spark, table))) == want
+    monkeypatch.setattr(module, "SPREAD", 1)  # groups of several blocks
+    monkeypatch.setattr(module, "BLOCK_SETS", 3)
+    monkeypatch.setattr(module, "GROUP_SETS", 10)
+    assert rows(near_dedup_query(documents(spark, table))) == want
+
+
+def crowd(spark, sizes, n=500):
+    """One crowd of components of the given sizes, of classes of n shingles each."""
+    members = [(0, 1000 * 1000 * c + i, n, c) for c, size in enumerate(sizes) for i in range(size)]
+    frame = pd.DataFrame(members, columns=["crowd", "rep", "n", "component"])
+    return spark.createDataFrame(frame, "crowd bigint, rep bigint, n bigint, component bigint")
+
+
+def test_sets_of_a_crowd_are_sent_few_times(spark):
+    alone = placed_members(crowd(spark, [1] * 50_000))
+    assert alone.count() < 10 * 50_000
+    largest = max(r["count"] for r in alone.groupBy("i", "j").count().collect())
+    assert largest < 2.5 * 8192
+    strays = placed_members(crowd(spark, [50_000] + [1] * 50))
+    assert strays.count() < 1.1 * 50_000
+
+
+@pytest.mark.parametrize("sizes", [[1] * 9, [5, 1, 1], [4, 4], [30, 2, 1, 7], [1, 1]])
+def test_pairs_across_components_meet_once(spark, monkeypatch, sizes):
+    import tillroll.llm.neardedup as module
+
+    monkeypatch.setattr(module, "BLOCK_SETS", 2)
+    monkeypatch.setattr(module, "GROUP_SETS", 3)
+    monkeypatch.setattr(module, "SPREAD", 3)
+    members = crowd(spark, sizes)
+    component = {r.rep: r.component for r in members.collect()}
+    tasks = {}
+    for r in placed_members(members).collect():
+        tasks.setdefault((r.i, r.j), []).append((r.rep, r.own))
+    met = {(p, q) for (i, j), of in tasks.items() for p, g in of for q, h in of if {g, h} == {i, j}}
+    for p in component:
+        for q in component:
+            assert component[p] == component[q] or (p, q) in met
+
+
+def test_group_links_by_brute_force(monkeypatch):
+    import tillroll.llm.neardedup as module
+
+    monkeypatch.setattr(module, "BLOCK_SETS", 4)
+    monkeypatch.setattr(module, "BLOCK_ITEMS", 300)
+    monkeypatch.setattr(module, "BLOCK_COLUMNS", 16)
+    rng = random.Random(31)
+    for trial in range(30):
+        base = [words(rng, 60, 5000) for _ in range(3)]
+        sets = text_sets([edited(rng, rng.choice(base), 0.05) for _ in range(rng.randrange(1, 30))], 3)
+        component = [rng.randrange(12) for _ in sets]
+        group = [rng.randrange(1 + trial % 2) for _ in sets]
+        a, b = group_links(list(range(len(sets))), component, group, [s.tobytes() for s in sets], 70)
+        want = [
+            (p, q) for p in range(len(sets)) for q in range(p)
+            if (group[p] != group[q] or len(set(group)) == 1)
+            and 100 * len(np.intersect1d(sets[p], sets[q])) >= 70 * len(np.union1d(sets[p], sets[q]))
+        ]
+        assert {(max(e), min(e)) for e in zip(a, b)} <= set(want)
+        assert joined(component, zip(a, b)) == joined(component, want)
+
+
+def joined(component, edges):
+    """The least component that each one hangs together with, by the edges between their members."""
+    label = {c: c for c in component}
+    for p, q in edges:
+        u, v = label[component[p]], label[component[q]]
+        label = {c: min(u, v) if m in (u, v) else m for c, m in label.items()}
+    return label
 
 
 def test_keep_one(spark):
@@ -269,12 +340,12 @@ def test_keep_one(spark):
     assert keep_one(documents(spark, []).limit(0)).count() == 0
 
 
-def test_block_links_join_all():
+def test_group_links_join_all():
     rng = random.Random(1)
     base = words(rng, 100, 5000)
     sets = text_sets([edited(rng, base, 0.03) for _ in range(40)], 3)
     blocks = [rng.randrange(2) for _ in sets]
-    a, b = block_links(list(range(40)), list(range(40)), blocks, [s.tobytes() for s in sets], 70)
+    a, b = group_links(list(range(40)), list(range(40)), blocks, [s.tobytes() for s in sets], 70)
     for x, y in zip(a, b):
         assert blocks[x] != blocks[y]
         assert 100 * len(np.intersect1d(sets[x], sets[y])) >= 70 * len(np.union1d(sets[x], sets[y]))

@@ -18,10 +18,12 @@ more; groups are the connected components of the links.
 5. Buckets that then still hold several components are finished. Pairs across the
    components of a bucket of up to SMALL classes go through the same tests. Larger buckets
    that share classes are one crowd, of documents a little less similar than the threshold.
-   A crowd is cut into blocks of bounded size, and a task compares two blocks: common
-   shingles are counted by a matrix product, and of the links found it returns those that
-   join components, at most one for each document. So no pair that shares a bucket is left
-   out unless its documents are already in one component, and no task makes rows of pairs.
+   A crowd is cut into groups of bounded size, its largest component into groups of its own,
+   and a task compares two groups, but for two of the largest component: block by block
+   common shingles are counted by a matrix product, and of the links found it returns those
+   that join components, at most one for each document. So no pair that shares a bucket is
+   left out unless its documents are already in one component, no task makes rows of pairs,
+   and a set is sent once for each group it has to meet.
 
 Cases: a text without words, NULL or empty, has an empty set and is linked with
 nothing; a text of fewer than k words has one shingle, the whole sequence; repeated rows
@@ -33,6 +35,7 @@ not looked at.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,9 @@ MISS = 1e-6
 SMALL = 16
 # Of a block of a crowd: documents, shingles; and the columns of a matrix at a time.
 BLOCK_SETS, BLOCK_ITEMS, BLOCK_COLUMNS = 1024, 1 << 17, 8192
+# A task compares two groups of blocks: documents and shingles (32 MB) of a group at most. Up to SPREAD
+# groups are made of fewer, so that tasks are enough.
+GROUP_SETS, GROUP_ITEMS, SPREAD = 1 << 13, 1 << 22, 8
 # Sketch parameters: base, rate, largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 
@@ -226,47 +232,105 @@ def _crowds(rest: DataFrame, sizes: DataFrame) -> DataFrame:
     return stored(components(edges).withColumnsRenamed({"node": "rep", "component": "crowd"}), "crowds")
 
 
+def _groups(main: bool) -> F.Column:
+    """Groups for the classes of a crowd that are, or aren't, of its largest component."""
+    mine = F.when(F.col("main") == main, F.col("n"))
+    count, items = F.count(mine), F.coalesce(F.sum(mine), F.lit(0))
+    blocks = F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(items / BLOCK_ITEMS))
+    least = F.greatest(F.ceil(count / GROUP_SETS), F.ceil(items / GROUP_ITEMS))
+    return F.greatest(F.least(blocks, F.lit(SPREAD)), least, F.lit(1)).cast("int")
+
+
+def placed_members(members: DataFrame) -> DataFrame:
+    """(crowd, i, j, rep, component, own): the pairs of groups to which a class is sent, and its own group.
+
+    Classes of the largest component of a crowd, in groups of their own, meet those of the others only.
+    """
+    parts = members.groupBy("crowd", "component").agg(F.count("*").alias("c"))
+    largest = parts.groupBy("crowd").agg(F.max(F.struct("c", "component"))["component"].alias("largest"))
+    marked = members.join(largest, "crowd").withColumn("main", F.col("component") == F.col("largest"))
+    size = marked.groupBy("crowd").agg(_groups(True).alias("g"), _groups(False).alias("r"))
+    deal = lambda groups: F.pmod(F.xxhash64("rep"), groups).cast("int")
+    return (
+        marked.join(size, "crowd")
+        .withColumn("own", F.when(F.col("main"), deal("g")).otherwise(F.col("g") + deal("r")))
+        .withColumn("first", F.when(F.col("main"), F.col("g")).otherwise(0))
+        .withColumn("other", F.explode(F.expr("sequence(first, g + r - 1)")))
+        .select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "own")
+    )
+
+
 def _crowd_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all similar ``members`` (crowd, rep, n, component) of each crowd."""
-    size = members.groupBy("crowd").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS)
-        ).cast("int").alias("blocks")
-    )
-    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    placed = (
-        members.join(size, "crowd")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    )
+    placed = placed_members(stored(members, "crowd-members"))
+    placed = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 
     def compare(table: pa.Table) -> pa.Table:
-        a, b = block_links(
-            *(table[c].to_pylist() for c in ("rep", "component", "own", "items")), percent
-        )
+        items = [x.as_buffer() for chunk in table["items"].chunks for x in chunk]
+        a, b = group_links(*(table[c].to_pylist() for c in ("rep", "component", "own")), items, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = placed.select("crowd", "i", "j", "rep", "component", "own", "items")
     return importable(rows).groupBy("crowd", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def block_links(
-    reps: list[int], components: list[int], blocks: list[int], items: list[bytes], percent: int
+def blocks_of(places: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """``places`` cut into blocks of up to BLOCK_SETS sets and BLOCK_ITEMS shingles, or of one set."""
+    blocks, start, items = [], 0, 0
+    for at, n in enumerate(size[places].tolist()):
+        if at > start and (at - start == BLOCK_SETS or items + n > BLOCK_ITEMS):
+            blocks.append(places[start:at])
+            start, items = at, 0
+        items += n
+    return [*blocks, places[start:]] if len(places) else blocks
+
+
+def group_links(
+    reps: list[int], components: list[int], groups: list[int], items: list[bytes], percent: int
 ) -> tuple[list[int], list[int]]:
-    """Similar pairs that join components, of documents of two blocks (or of one).
+    """Similar pairs that join components, of documents of two groups (or of one), block by block.
 
-    Pairs inside a block are left to the task that has only that block.
+    Pairs inside a group are left to the task that has only that group.
     """
     sets = [np.frombuffer(x, np.uint64) for x in items]
-    block = np.asarray(blocks)
-    left = np.flatnonzero(block == block.min())
-    right = np.flatnonzero(block == block.max())
     size = np.array([len(s) for s in sets])
-    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
+    _, component = np.unique(np.asarray(components), return_inverse=True)
+    group = np.asarray(groups)
+    alone = group.min() == group.max()
+    left = blocks_of(np.flatnonzero(group == group.min()), size)
+    right = left if alone else blocks_of(np.flatnonzero(group == group.max()), size)
+    parent, a, b = list(range(len(sets))), [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    now, known = component, 0
+    for at, x in enumerate(left):
+        for y in right[at:] if alone else right:
+            if len(a) > known:
+                now, known = np.array([root(c) for c in range(component.max() + 1)])[component], len(a)
+            if (now[x] == now[x[0]]).all() and (now[y] == now[x[0]]).all():
+                continue
+            for p, q in similar_pairs(sets, size, now, x, y, percent):
+                u, v = root(int(component[p])), root(int(component[q]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a.append(reps[p])
+                    b.append(reps[q])
+    return a, b
+
+
+def similar_pairs(
+    sets: list[np.ndarray], size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Places of similar sets of two blocks (or one) that are in different components."""
+    same = left is right
+    both = left if same else np.concatenate([left, right])
+    _, code, times = np.unique(np.concatenate([sets[i] for i in both]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(both)), size[both])
     rank = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[code]
     owner, rank = owner[rank >= 0], rank[rank >= 0]
     order = np.argsort(rank, kind="stable")
@@ -274,29 +338,14 @@ def block_links(
     common = np.zeros((len(left), len(right)), np.float32)
     for low in range(0, int(rank[-1]) + 1 if len(rank) else 0, BLOCK_COLUMNS):
         some = slice(*np.searchsorted(rank, [low, low + BLOCK_COLUMNS]))
-        has = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+        has = np.zeros((len(both), BLOCK_COLUMNS), np.float32)
         has[owner[some], rank[some] - low] = 1
-        common += has[left] @ has[right].T
-    _, group = np.unique(np.asarray(components), return_inverse=True)
+        common += has[: len(left)] @ (has if same else has[len(left) :]).T
     common = common.astype(np.int64)  # whole numbers so far: exact up to 2^24 common shingles
     union = size[left][:, None] + size[right][None, :] - common
-    linked = (100 * common >= percent * union) & (group[left][:, None] != group[right][None, :])
-    parent, a, b = list(range(len(sets))), [], []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    linked = (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
     for x, y in zip(*(index.tolist() for index in np.nonzero(linked))):
-        p, q = left[x], right[y]
-        u, v = root(int(group[p])), root(int(group[q]))
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            a.append(reps[p])
-            b.append(reps[q])
-    return a, b
+        yield int(left[x]), int(right[y])
 
 
 def near_duplicates(
