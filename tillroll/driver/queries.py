@@ -22,6 +22,7 @@ from tillroll.driver.adapter import (
     part_places,
     retail,
     retail_raw,
+    table,
     two_loads,
     written,
 )
@@ -83,8 +84,12 @@ def scan_retail_converted(spark, sf):
 
 
 def scan_retail_dense(spark, sf):
-    """Numbers of the lines of several files."""
-    path = written(retail_raw(spark, sf).drop(ROW_ORDER).repartition(5, "StockCode"))
+    """Numbers of the lines of several files, five for each split of the input.
+
+    They are dealt by line, as a product may hold most of them.
+    """
+    files = 5 * table(spark, sf, "lineitem").rdd.getNumPartitions()
+    path = written(retail_raw(spark, sf).drop(ROW_ORDER).repartition(files, *RETAIL_SCHEMA.names))
     number = F.col(ROW_ORDER)
     return read_retail(spark, path, dense=True).agg(
         F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"),
