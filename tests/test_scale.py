@@ -1,10 +1,15 @@
 """Work that must not pile up as the input grows."""
 
+import threading
 from datetime import datetime
 
 import pytest
+from data import frame, random_rows
+from pyspark.sql import functions as F
 
+from tillroll import Retail
 from tillroll.driver import queries
+from tillroll.session import at_once
 
 
 @pytest.fixture
@@ -39,3 +44,50 @@ def test_dense_scan_of_one_product_deals_its_lines(spark, star, monkeypatch):
     assert [tuple(r) for r in found] == [(1200, 0, 1199, 1200)]
     sizes = [r["count"] for r in spark.read.parquet(paths[0]).groupBy("_metadata.file_path").count().collect()]
     assert len(sizes) == 30 and max(sizes) < 100
+
+
+def counting(spark, df):
+    """``df``, and how many of its rows have been read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(quantity):
+        read.add(1)
+        return quantity
+
+    seen = F.udf(seen, "int").asNondeterministic()
+    return df.withColumn("Quantity", seen("Quantity")), read
+
+
+def test_loads_are_read_four_times(spark, tmp_path):
+    """For facts, products, the cleaned table and the last number; products were read three times more for their codes."""
+    raw, read = counting(spark, frame(spark, random_rows(51, 300)))
+    model = Retail(raw).store(str(tmp_path / "m"))
+    assert read.value == 4 * 300
+    raw, read = counting(spark, frame(spark, random_rows(52, 200)))
+    model.add(raw)
+    assert read.value == 4 * 200
+
+
+def test_bitmaps_are_made_of_pairs(spark, tmp_path):
+    """Spark sorts for a bitmap; it sorts the different products of a country, not the lines."""
+    data = random_rows(53, 400)
+    model = Retail(frame(spark, data)).store(str(tmp_path / "m"))
+    pairs = model.clean().select("Country", "StockCode").distinct().count()
+    assert model.table("sold").count() == pairs < model.clean().count()
+    more = model.add(frame(spark, data))
+    assert more.table("sold").count() == pairs
+
+
+def test_jobs_at_once(spark):
+    """Each waits for the other; properties of the caller hold; an error is raised."""
+    both = threading.Barrier(2, timeout=60)
+    spark.sparkContext.setLocalProperty("tillroll.test", "here")
+
+    def job(name):
+        both.wait()
+        return name, spark.sparkContext.getLocalProperty("tillroll.test")
+
+    assert at_once(spark, lambda: job("a"), lambda: job("b")) == [("a", "here"), ("b", "here")]
+    spark.sparkContext.setLocalProperty("tillroll.test", None)
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, lambda: 1 / 0, lambda: 2)

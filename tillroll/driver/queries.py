@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from tillroll.operators.variety import LG_K
 from tillroll.plans import analyses, maps
 from tillroll.plans.retail import Retail, upper_codes
 from tillroll.schema import INVOICE_COLUMNS, RETAIL_SCHEMA, ROW_ORDER
-from tillroll.session import scratch_folder
+from tillroll.session import at_once, scratch_folder
 from tillroll.sources.boundaries import read_boundaries
 from tillroll.sources.export import EXPORT_MEASURE, country_sales_export, write_country_sales
 from tillroll.sources.gazetteer import locate, read_gazetteer
@@ -243,7 +244,8 @@ def _merged(analysis) -> Query:
     """An analysis of a model of a first load to which a second one was added."""
 
     def query(spark, sf):
-        first, second = (read_retail(spark, written(load), sequence="line_no") for load in two_loads(spark, sf))
+        paths = at_once(spark, *[partial(written, load) for load in two_loads(spark, sf)])
+        first, second = (read_retail(spark, path, sequence="line_no") for path in paths)
         model = Retail(first).store(f"{scratch_folder(spark)}/retail-{uuid.uuid4().hex}")
         return analysis(model.add(second))
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from tillroll.operators.variety import (
     sketches,
 )
 from tillroll.schema import INVOICE_COLUMNS, ROW_ORDER, in_file_order
-from tillroll.session import hadoop_path, require_reachable, shared_folder
+from tillroll.session import at_once, hadoop_path, require_reachable, shared_folder
 
 
 def upper_codes(raw: DataFrame) -> DataFrame:
@@ -170,15 +171,18 @@ class Retail:
         spark = self.lines.sparkSession
         folder = require_reachable(spark, folder or f"{shared_folder(spark)}/retail-{uuid.uuid4().hex}")
         write = _Writer(spark, folder, 0)
-        facts = write(_first_facts(self.lines), "facts")
-        repairs = write(facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS), "repairs")
-        products = write(_coded_products(self.lines), "products")
-        customers = write(value_codes(facts, "CustomerID", "code"), "customers")
+        found = normalize_products(self.lines, F.min(ROW_ORDER).alias(ROW_ORDER))
+        facts, new = write.all(facts=_first_facts(self.lines), new_products=found)
+        repairs, known, _, _ = write.all(
+            repairs=facts.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS),
+            new_customers=facts.select("CustomerID").distinct(),
+            times=_times(facts),
+            meta=_meta(self.lines, facts),
+        )
+        products, customers = write.all(products=_coded(new), customers=value_codes(known, "CustomerID", "code"))
         clean = write(repaired_table(self.lines, repairs, products.select("StockCode", "Description")), "clean")
-        write(_country_bitmaps(clean, products, facts, customers), "bitmaps")
-        write(_country_sketches(clean, facts), "sketches")
-        write(_times(facts), "times")
-        write(_meta(self.lines, facts), "meta")
+        sold = write(_sold(clean), "sold")
+        write.all(bitmaps=_country_bitmaps(sold, products, facts, customers), sketches=_country_sketches(sold, facts))
         return write.done()
 
 
@@ -200,6 +204,10 @@ class _Writer:
         df.write.mode("errorifexists" if self.version == 0 else "overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all(self, **tables: DataFrame) -> list[DataFrame]:
+        """Write tables that don't read one another, at once."""
+        return at_once(self.spark, *[partial(self, df, name) for name, df in tables.items()])
+
     def done(self) -> StoredRetail:
         """Readers see the version from now on."""
         files, path = hadoop_path(self.spark, f"{self.folder}/{self.version}/{_DONE}")
@@ -215,26 +223,31 @@ def _first_facts(lines: DataFrame) -> DataFrame:
     return first_by_key(lines, "InvoiceNo", INVOICE_COLUMNS, ROW_ORDER, [*invoice_sums(), *firsts], mixed="mixed")
 
 
-def _coded_products(lines: DataFrame, after: int = 0) -> DataFrame:
-    """Products with the order of their first line and a code."""
-    products = normalize_products(lines, F.min(ROW_ORDER).alias(ROW_ORDER))
+def _coded(products: DataFrame, after: int = 0) -> DataFrame:
+    """Products with a code. Pass a written table: it is read several times."""
     return left_lookup(products, value_codes(products, "StockCode", "code", after), "StockCode")
 
 
+def _sold(clean: DataFrame) -> DataFrame:
+    """Which products each country has. Pairs are few beside lines, and hashing them
+    spares the bitmaps, which Spark aggregates by sorting, all the lines."""
+    return clean.select("Country", "StockCode").distinct()
+
+
 def _both(products: DataFrame, customers: DataFrame) -> DataFrame:
     named = lambda df, value: df.select(F.lit(value).alias("value"), *df.columns)
     return named(products, VALUES[0]).unionByName(named(customers, VALUES[1]))
 
 
-def _country_bitmaps(clean: DataFrame, products: DataFrame, facts: DataFrame, customers: DataFrame) -> DataFrame:
+def _country_bitmaps(sold: DataFrame, products: DataFrame, facts: DataFrame, customers: DataFrame) -> DataFrame:
     """Which codes of products and customers each country has."""
-    sold = left_lookup(clean.select("StockCode", "Country"), products.select("StockCode", "code"), "StockCode")
+    sold = left_lookup(sold, products.select("StockCode", "code"), "StockCode")
     known = left_lookup(facts.select("CustomerID", "Country"), customers, "CustomerID")
     return _both(bitmaps(sold, "Country", "code"), bitmaps(known, "Country", "code"))
 
 
-def _country_sketches(clean: DataFrame, facts: DataFrame) -> DataFrame:
-    return _both(sketches(clean, "Country", "StockCode"), sketches(facts, "Country", "CustomerID"))
+def _country_sketches(sold: DataFrame, facts: DataFrame) -> DataFrame:
+    return _both(sketches(sold, "Country", "StockCode"), sketches(facts, "Country", "CustomerID"))
 
 
 def _times(facts: DataFrame) -> DataFrame:
@@ -243,6 +256,30 @@ def _times(facts: DataFrame) -> DataFrame:
     return facts.groupBy("InvoiceDate", "Country").agg(one, F.sum("n_lines").alias("n_lines"))
 
 
+def _merged_facts(old: DataFrame, load: DataFrame) -> DataFrame:
+    """Facts of both, and whether the load ``touched`` the invoice; one join, from which the
+    touched ones are picked out."""
+    names = {c: f"_{c}" for c in old.columns}
+    marked = load.withColumn("_new", F.lit(True))
+    earlier = old.withColumnsRenamed(names).withColumn("_old", F.lit(True))
+    both = marked.join(earlier, F.col("InvoiceNo").eqNullSafe(F.col("_InvoiceNo")), "full")
+    known, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    same = F.lit(True)
+    for c in INVOICE_COLUMNS:
+        same = same & F.col(c).eqNullSafe(F.col(names[c]))
+    kept = lambda c: F.when(known, F.col(names[c])).otherwise(F.col(c)).alias(c)
+    renewed = lambda c, value: F.when(new, value).otherwise(F.col(names[c])).cast(load.schema[c].dataType).alias(c)
+    summed = lambda c: renewed(c, F.col(c) + F.coalesce(F.col(names[c]), F.lit(0)))
+    return both.select(
+        *[kept(c) for c in ("InvoiceNo", *INVOICE_COLUMNS)],
+        summed("total"),
+        summed("n_lines"),
+        kept(ROW_ORDER),
+        renewed("mixed", F.col("mixed") | F.coalesce(names["mixed"], F.lit(False)) | (known & ~same)),
+        new.alias("touched"),
+    )
+
+
 def _numbered(lines: DataFrame) -> bool:
     return isinstance(lines.schema[ROW_ORDER].dataType, T.NumericType)
 
@@ -336,43 +373,34 @@ class StoredRetail:
         write = _Writer(self.spark, self.folder, self.version + 1)
 
         old = {name: self.table(name) for name in ("facts", "products", "customers", "bitmaps", "sketches", "times")}
-        load = write(_first_facts(lines), "load")
-        names = {c: f"_{c}" for c in old["facts"].columns if c != "InvoiceNo"}
-        both = left_lookup(load, old["facts"].withColumnsRenamed(names).withColumn("_old", F.lit(True)), "InvoiceNo")
-        known = F.col("_old").isNotNull()
-        same = F.lit(True)
-        for c in INVOICE_COLUMNS:
-            same = same & F.col(c).eqNullSafe(F.col(names[c]))
-        summed = lambda c: (F.col(c) + F.coalesce(F.col(names[c]), F.lit(0))).cast(load.schema[c].dataType).alias(c)
-        touched = both.select(
-            "InvoiceNo",
-            *[F.when(known, F.col(names[c])).otherwise(F.col(c)).alias(c) for c in INVOICE_COLUMNS],
-            summed("total"),
-            summed("n_lines"),
-            F.coalesce(names[ROW_ORDER], ROW_ORDER).alias(ROW_ORDER),
-            (F.col("mixed") | F.coalesce(names["mixed"], F.lit(False)) | (known & ~same)).alias("mixed"),
+        found = normalize_products(lines, F.min(ROW_ORDER).alias(ROW_ORDER))
+        new = drop_matching(found, old["products"].select("StockCode"), "StockCode")
+        load, new = write.all(load=_first_facts(lines), new_products=new)
+        facts = write(_merged_facts(old["facts"].select(*load.columns), load), "facts")
+        touched = facts.where("touched").drop("touched")
+        facts = facts.drop("touched")
+        strangers = drop_matching(touched.select("CustomerID"), old["customers"].select("CustomerID"), "CustomerID")
+        touched, repairs, strangers, _, _ = write.all(
+            touched=touched,
+            repairs=touched.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS),
+            new_customers=strangers.distinct(),
+            times=_times(facts),
+            meta=_meta(lines, facts, start),
         )
-        touched = write(touched, "touched")
-        facts = write(drop_matching(old["facts"], touched.select("InvoiceNo"), "InvoiceNo").unionByName(touched), "facts")
-        repairs = write(touched.where("mixed").select("InvoiceNo", *INVOICE_COLUMNS), "repairs")
 
         after = lambda name: old[name].agg(F.max("code")).first()[0] or 0
-        found = normalize_products(lines, F.min(ROW_ORDER).alias(ROW_ORDER))
-        new = write(drop_matching(found, old["products"].select("StockCode"), "StockCode"), "new_products")
-        coded = left_lookup(new, value_codes(new, "StockCode", "code", after("products")), "StockCode")
-        products = write(old["products"].unionByName(coded), "products")
-        strangers = drop_matching(touched.select("CustomerID"), old["customers"].select("CustomerID"), "CustomerID")
-        strangers = write(strangers.distinct(), "new_customers")
-        customers = old["customers"].unionByName(value_codes(strangers, "CustomerID", "code", after("customers")))
-        customers = write(customers, "customers")
+        products, customers = write.all(
+            products=old["products"].unionByName(_coded(new, after("products"))),
+            customers=old["customers"].unionByName(value_codes(strangers, "CustomerID", "code", after("customers"))),
+        )
 
         clean = write(repaired_table(lines, repairs, products.select("StockCode", "Description")), "clean")
-        more = _country_bitmaps(clean, products, touched, customers).unionByName(old["bitmaps"])
-        write(_by_value(more, merge_bitmaps), "bitmaps")
-        more = _country_sketches(clean, touched).unionByName(old["sketches"])
-        write(_by_value(more, merge_sketches), "sketches")
-        write(_times(facts), "times")
-        write(_meta(lines, facts, start), "meta")
+        sold = write(_sold(clean), "sold")
+        more = [_country_bitmaps(sold, products, touched, customers), _country_sketches(sold, touched)]
+        write.all(
+            bitmaps=_by_value(more[0].unionByName(old["bitmaps"]), merge_bitmaps),
+            sketches=_by_value(more[1].unionByName(old["sketches"]), merge_sketches),
+        )
         return write.done()
 
     def remove(self) -> None:

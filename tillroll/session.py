@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -39,6 +43,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def at_once(spark: SparkSession, *jobs: Callable[[], Any]) -> list:
+    """The results of ``jobs``, run at the same time: one's last tasks leave no cores idle."""
+    inherit = inheritable_thread_target(spark)
+    # Without pinned threads there is nothing to inherit.
+    run = inherit(lambda job: job()) if callable(inherit) else lambda job: job()
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(run, jobs))
+
+
 def is_local(spark: SparkSession) -> bool:
     """Whether all tasks run in this process (``local-cluster`` is a cluster)."""
     return spark.sparkContext.master.split("[")[0] == "local"
