@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll import Retail
 from tillroll.driver import queries
+from tillroll.llm import tokens
 from tillroll.session import at_once
 
 
@@ -91,3 +92,13 @@ def test_jobs_at_once(spark):
     spark.sparkContext.setLocalProperty("tillroll.test", None)
     with pytest.raises(ZeroDivisionError):
         at_once(spark, lambda: 1 / 0, lambda: 2)
+
+
+def test_words_of_a_large_vocabulary_stay_known(monkeypatch):
+    """300,000 different words are encoded once; with more than 250,000 a worker forgot them all."""
+    words = tokens.WordEncoder(tokens.tokenizer_path())
+    texts = [" ".join(f"w{i}" for i in range(k, k + 100_000)) for k in range(0, 300_000, 100_000)]
+    first = [words.encode_many([t])[0].tolist() for t in texts]
+    words.encode_many(["one more"])
+    monkeypatch.setattr(words, "_learn", lambda new: pytest.fail(f"{len(new)} words are new"))
+    assert [words.encode_many([t])[0].tolist() for t in texts] == first

@@ -21,8 +21,8 @@ import numpy as np
 from tillroll.llm.words import PIECE, buffer_words, pieces
 
 WORD_BPE = "word_bpe_49k.json"
-# Words, and pieces, a worker remembers; with more it starts anew.
-MEMORY = 250_000
+# Words, and pieces, a worker remembers; with more it starts anew. A million take some 200 MB each.
+MEMORY = 1_000_000
 
 _END = "</w>"
 # Stands for the end of a line among ids.
